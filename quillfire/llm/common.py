@@ -126,3 +126,27 @@ def distinct_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFra
         if now == mark:
             return cur.select(F.col("v").alias("node"), F.col("u").alias("root"))
         mark = now
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int]) -> list[dict]:
+    """At most ``bounds[k]`` labelled documents of each class k, to fit a model on.
+
+    Which ones is decided by a hash of the id, so it is the same every time.
+    Rows without id or label are left out; of several labels of an id the
+    largest counts, of several rows the least.  The ids sent to every executor
+    number ``sum(bounds.values())`` at most.
+    """
+    given = labels.where(labels["doc_id"].isNotNull() & labels[label].isNotNull())
+    given = given.groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
+    picked = None
+    for k, n in bounds.items():
+        part = given.where(F.col("_y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        picked = part if picked is None else picked.unionAll(part)
+    rows = (
+        docs.select("doc_id", F.struct(*[F.col(c) for c in ("text", "lang", "source", "n_chars") if c in docs.columns]).alias("_d"))
+        .join(F.broadcast(picked), "doc_id")  # bounded by the parameter
+        .groupBy("doc_id").agg(F.min("_d").alias("_d"), F.first("_y").alias("_y"))
+        .select("doc_id", "_y", "_d.*")
+        .toArrow()
+    )
+    return sorted(rows.to_pylist(), key=lambda r: r["doc_id"])

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from quillfire.llm import chat_perspectives, merge_encode, mix_sources, token_counts
+from quillfire.llm import (
+    chat_perspectives,
+    merge_encode,
+    mix_sources,
+    quality_fm,
+    simhash_vptree,
+    token_counts,
+    toxicity_fst,
+)
 from quillfire.llm.common import table
 
 
+def op2_quality_fm(spark, sf_dir):
+    return quality_fm.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sentencepiece(spark, sf_dir):
     return merge_encode.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_fst(spark, sf_dir):
+    return toxicity_fst.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_simhash_vptree(spark, sf_dir):
+    return simhash_vptree.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_perspectives(spark, sf_dir):
     return chat_perspectives.rotate(table(spark, sf_dir, "conversations"))
 
@@ -23,7 +43,10 @@ def op10_mix_sources(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_quality_fm": op2_quality_fm,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_toxicity_fst": op4_toxicity_fst,
+    "op5_simhash_vptree": op5_simhash_vptree,
     "op7_chat_perspectives": op7_chat_perspectives,
     "op9_token_counts": op9_token_counts,
     "op10_mix_sources": op10_mix_sources,
