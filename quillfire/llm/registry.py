@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillfire.llm import (
     chat_perspectives,
+    line_chunks,
     merge_encode,
     mix_sources,
     quality_fm,
@@ -14,6 +15,10 @@ from quillfire.llm import (
 from quillfire.llm.common import table
 
 
+def op1_line_chunks(spark, sf_dir):
+    return line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_fm(spark, sf_dir):
     return quality_fm.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +48,7 @@ def op10_mix_sources(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_line_chunks": op1_line_chunks,
     "op2_quality_fm": op2_quality_fm,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity_fst": op4_toxicity_fst,
@@ -53,6 +59,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_chunks": line_chunks.SQL,
     "op7_chat_perspectives": chat_perspectives.SQL,
     "op10_mix_sources": mix_sources.SQL,
 }
