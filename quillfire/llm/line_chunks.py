@@ -1,83 +1,145 @@
 """Line dedup by content-defined chunks of lines.
 
-Each line is hashed, and a rolling hash over ``WINDOW`` line hashes is taken at
-every gap between two lines, once over the lines that end there and once over
-those that begin there.  Where either is 0 modulo ``DIVISOR`` a chunk ends.  So
-boundaries follow the content: a passage put into another document is cut
-there as it is at home, whatever stands around it.  Chunks of at least two lines
-that occur again anywhere in the corpus are removed, after their bytes were
-compared, all but the first occurrence.
+Each line is hashed, and a rolling hash is taken over every two adjacent lines.
+Modulo ``LEVELS`` it names the level at which the two are an anchor.  At each
+level a chunk ends before and after every anchor, and an anchor isn't split
+unless an adjacent anchor of lower hash overlaps it.  So boundaries follow the
+content: a passage put into another document is cut there as it is at home,
+whatever stands around it, and a passage whose edges fall within a chunk at one
+level is cut out at another.  Chunks of at least two lines that occur again
+anywhere in the corpus are removed, after their bytes were compared, all but the
+first occurrence.
 """
 
 from __future__ import annotations
 
 from hashlib import md5
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfire.llm.common import settle, slices
 
-WINDOW = 2
-DIVISOR = 4
+LEVELS = 4
 BASE, PRIME = 31, 1_000_003
 
 
-def chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """(start, end) of each chunk; they cover all lines."""
-    n = len(lines)
-    h = [int(md5(x.encode("utf-8")).hexdigest()[:8], 16) for x in lines]
-    hit = [(BASE * a + b) % PRIME % DIVISOR == 0 for a, b in zip(h, h[1:])]  # hit[i]: lines i, i + 1
-    out, start = [], 0
-    for gap in range(1, n):
-        if gap >= 2 and hit[gap - 2] or gap <= n - 2 and hit[gap]:
-            out.append((start, gap))
-            start = gap
-    out.append((start, n))
+def boundaries(h: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(first lines, lines after) of the chunks of two lines at least, by level.
+
+    ``h`` are the line hashes of several documents end to end; ``ends`` tells
+    which lines are the last of their document.
+    """
+    n = len(h)
+    pair = (BASE * h[:-1] + h[1:]) % PRIME
+    valid = ~ends[:-1]
+    out = []
+    for level in range(LEVELS):
+        hit = valid & (pair % LEVELS == level)
+        atom = hit.copy()
+        atom[1:] &= ~(hit[:-1] & (pair[:-1] <= pair[1:]))
+        atom[:-1] &= ~(hit[1:] & (pair[1:] < pair[:-1]))
+        cut = np.zeros(n + 1, bool)  # cut[g]: a chunk begins at line g
+        cut[2:n] |= hit[:-1]  # after an anchor
+        cut[:-2] |= hit  # before an anchor
+        cut[1:n] &= ~atom
+        cut[1:][ends] = True
+        cut[0] = cut[n] = True
+        at = np.nonzero(cut)[0]
+        wide = np.diff(at) > 1
+        out.append((at[:-1][wide], at[1:][wide]))
     return out
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """``_id, _tag, _text`` of the rows that can be chunked.  The tag tells
-    apart different texts that share an id."""
+def chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of one document, each once."""
+    h = np.array([int.from_bytes(md5(x.encode()).digest()[:4], "big") for x in lines], "i8")
+    ends = np.zeros(len(h), bool)
+    ends[-1] = True
+    return sorted({(int(a), int(b)) for s, e in boundaries(h, ends) for a, b in zip(s, e)})
+
+
+def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """Each row with ``_id`` and ``_tag``, which tells apart different texts that
+    share an id."""
     return docs.select(
-        docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_tag"), docs["text"].alias("_text")
-    ).where("_id is not null and _text != ''")
+        F.struct(*[docs[f"`{c}`"].alias(f"f{i}") for i, c in enumerate(names)]).alias("_row"),
+        docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_tag"),
+    )
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """``_id, _tag, cut`` with the chunks to remove of each document, as an
-    array of (first line, line after)."""
-    rows = _rows(docs)
+def occurrences(docs: DataFrame) -> DataFrame:
+    """``digest, _id, _tag, a, b`` of every chunk; map-only."""
+    rows = docs.select(docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_tag"), docs["text"].alias("_text"))
+    rows = rows.where("_id is not null and instr(_text, '\n') > 0")
     kind = rows.schema["_id"].dataType.simpleString()
 
     def digest(batches):
         for batch in slices(batches, "_text"):
-            ids, tags = batch.column("_id").to_pylist(), batch.column("_tag").to_pylist()
-            out = []
-            for i, tag, text in zip(ids, tags, batch.column("_text").to_pylist()):
-                lines = text.split("\n")
-                if len(lines) > 1:
-                    out.extend((md5("\n".join(lines[a:b]).encode()).digest(), i, tag, a, b) for a, b in chunks(lines) if b - a > 1)
-            cols = list(zip(*out)) or [()] * 5
+            doc, h, first, starts, ends, raws = [], [], [], [], [], []
+            for k, text in enumerate(batch.column("_text").to_pylist()):
+                raw = text.encode()
+                lines = raw.split(b"\n")
+                first.append(len(h))
+                at = 0
+                for x in lines:
+                    h.append(md5(x).digest()[:4])
+                    starts.append(at)
+                    at += len(x) + 1
+                doc.extend([k] * len(lines))
+                ends.extend([False] * (len(lines) - 1) + [True])
+                raws.append(raw)
+            if not h:
+                continue
+            doc, starts = np.array(doc), np.array(starts + [0])
+            levels = boundaries(np.frombuffer(b"".join(h), ">u4").astype("i8"), np.array(ends))
+            key = np.unique(np.concatenate([s * (len(h) + 1) + e for s, e in levels]))
+            s, e = key // (len(h) + 1), key % (len(h) + 1)
+            owner = doc[s]
+            stop = np.array([len(r) + 1 for r in raws])[owner]
+            inner = e < len(h)
+            inner[inner] = doc[e[inner]] == owner[inner]
+            stop[inner] = starts[e[inner]]
+            made = [xxhash.xxh3_128_digest(raws[k][x : y - 1]) for k, x, y in zip(owner.tolist(), starts[s].tolist(), stop.tolist())]
+            base = np.array(first)[owner]
+            take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.binary()), pa.array(cols[1], batch.schema.field("_id").type), *[pa.array(c, pa.int64()) for c in cols[2:]]],
+                [pa.array(made, pa.binary()), batch.column("_id").take(take), batch.column("_tag").take(take), pa.array((s - base).astype("i4")), pa.array((e - base).astype("i4"))],
                 ["digest", "_id", "_tag", "a", "b"],
             )
 
-    seen = settle(rows.mapInArrow(digest, f"digest binary, _id {kind}, _tag bigint, a bigint, b bigint").distinct())
-    # the first occurrence of each digest that occurs again; partial sums come before the shuffle
-    where = F.struct("_id", "_tag", "a", "b")
-    firsts = seen.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = settle(seen.join(firsts, "digest").select("digest", where.alias("at"), "first"))
-    if again.isEmpty():
-        return again.select("at._id", "at._tag").withColumn("cut", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
-    # their bytes, taken from the documents: each chunk with whether it is the first
-    wanted = again.groupBy("at._id", "at._tag").agg(
-        F.collect_list(F.struct("digest", F.col("at.a").alias("a"), F.col("at.b").alias("b"), (F.col("at") == F.col("first")).alias("f"))).alias("want")
-    )
+    return rows.mapInArrow(digest, f"digest binary, _id {kind}, _tag bigint, a int, b int")
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """The input's columns, ``text`` without repeated chunks, and
+    ``removed_lines``; one row for each input row.
+
+    The first occurrence of a chunk, by (doc_id, hash of the text, line), stays
+    unless an overlapping chunk that occurred still earlier covers it.  A chunk
+    whose digest agrees with the first one's but whose bytes don't is kept.  A
+    text of which every line is removed becomes empty.  Null and empty texts, and
+    rows without an id, are unchanged and remove nothing elsewhere; rows with the
+    same id and text are one document and get the same result.  A column that is
+    called like the added one is replaced; other columns pass through, whatever
+    their names.  An empty table gives an empty result.
+
+    What is shuffled: 50 bytes a chunk, twice; of repeated chunks, their bytes;
+    and the texts once, to bring them to their documents' chunks.
+    """
+    names = [c for c in docs.columns if c != "removed_lines"]
+    seen = settle(occurrences(docs))
+    where = F.struct("_id", "_tag", "a")
+    # a digest that stands in two places at least; partial minima come before the shuffle
+    ends = seen.groupBy("digest").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").select("digest", "first")
+    again = seen.join(ends, "digest").select("_id", "_tag", F.struct("digest", "a", "b", (where == F.col("first")).alias("f")).alias("w"))
+    wanted = again.groupBy("_id", "_tag").agg(F.sort_array(F.collect_set("w")).alias("want"))
+    both = settle(_keyed(docs, names).join(wanted, ["_id", "_tag"], "left"))
+    text = f"_row.f{names.index('text')}"
+    kind = both.schema["_id"].dataType.simpleString()
 
     def extract(batches):
         for batch in slices(batches, "_text"):
@@ -87,84 +149,64 @@ def removals(docs: DataFrame) -> DataFrame:
                 lines = text.split("\n")
                 out.extend((w["digest"], i, tag, w["a"], w["b"], w["f"], "\n".join(lines[w["a"] : w["b"]]).encode()) for w in want)
             cols = list(zip(*out)) or [()] * 7
-            types = [pa.binary(), batch.schema.field("_id").type, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+            types = [pa.binary(), batch.schema.field("_id").type, pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["digest", "_id", "_tag", "a", "b", "f", "bytes"])
 
-    full = settle(
-        rows.join(wanted, ["_id", "_tag"]).mapInArrow(extract, f"digest binary, _id {kind}, _tag bigint, a bigint, b bigint, f boolean, bytes binary").distinct()
+    # of repeated chunks, the bytes; those that differ from the first one's aren't copies
+    full = both.where("want is not null").select("_id", "_tag", F.col(text).alias("_text"), "want").mapInArrow(
+        extract, f"digest binary, _id {kind}, _tag bigint, a int, b int, f boolean, bytes binary"
+    )
+    full = settle(full)
+    first = full.where("f").groupBy("digest").agg(F.min("bytes").alias("original"))
+    other = full.where("not f").join(first, "digest").where("bytes != original")
+    other = settle(other.groupBy("_id", "_tag").agg(F.collect_set(F.struct("a", "b")).alias("unlike")))
+    copies = F.filter("want", lambda w: ~w["f"])
+    spared = lambda w: F.exists("unlike", lambda u: (u["a"] == w["a"]) & (u["b"] == w["b"]))
+    both = both.join(other, ["_id", "_tag"], "left")
+    cut = F.transform(F.filter(copies, lambda w: ~F.coalesce(spared(w), F.lit(False))), lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b")))
+    gone = F.array_distinct(F.flatten(F.transform(cut, lambda c: F.sequence(c["a"], c["b"] - 1))))
+    both = both.withColumn("_gone", F.coalesce(F.when(F.size(cut) > 0, gone), F.array().cast("array<int>")))
+    lines = F.split(F.col(text), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    new = F.when(F.size("_gone") > 0, F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")).otherwise(F.col(text))
+    return both.select(
+        *[new.alias(c) if c == "text" else F.col(f"_row.f{i}").alias(c) for i, c in enumerate(names)],
+        F.size("_gone").cast("bigint").alias("removed_lines"),
     )
-    first = full.where("f").select("digest", F.col("bytes").alias("original"))
-    same = full.where("not f").join(first, "digest").where("bytes = original")
-    return same.groupBy("_id", "_tag").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cut"))
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The input's columns, ``text`` without repeated chunks, and
-    ``removed_lines``; one row for each input row.
-
-    The first occurrence of a chunk, by (doc_id, hash of the text, line), stays.
-    A chunk whose digest agrees with the first one's but whose bytes don't is
-    kept.  A text of which every line is removed becomes empty.  Null and empty
-    texts, and rows without an id, are unchanged and remove nothing elsewhere;
-    rows with the same id and text are one document and get the same result.  A
-    column that is called like the added one is replaced; other columns pass
-    through, whatever their names.
-
-    What is shuffled: 40 bytes a chunk; of repeated chunks, their bytes; and the
-    texts twice, by document, to take the bytes from and to cut.
-    """
-    cuts = removals(docs)
-    names = [c for c in docs.columns if c != "removed_lines"]
-    keyed = docs.select(F.struct(*[docs[f"`{c}`"].alias(f"f{i}") for i, c in enumerate(names)]).alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_tag"))
-    text = f"_row.f{names.index('text')}"
-    both = keyed.join(cuts, ["_id", "_tag"], "left")
-    cut = _cutter()(F.when(F.col("cut").isNotNull(), F.col(text)), "cut")  # texts without a cut stay where they are
-    both = both.withColumn("_new", F.coalesce(cut, F.col(text)))
-    gone = F.coalesce(F.aggregate("cut", F.lit(0).cast("bigint"), lambda s, c: s + c["b"] - c["a"]), F.lit(0).cast("bigint"))
-    return both.select(*[F.col("_new").alias(c) if c == "text" else F.col(f"_row.f{i}").alias(c) for i, c in enumerate(names)], gone.alias("removed_lines"))
-
-
-def _cutter():
-    @F.pandas_udf("string")
-    def cutter(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        out = []
-        for t, cut in zip(texts, cuts):
-            if t is None:
-                out.append(None)
-                continue
-            lines, kept, at = t.split("\n"), [], 0
-            for c in cut:
-                kept += lines[at : c["a"]]
-                at = c["b"]
-            out.append("\n".join(kept + lines[at:]))
-        return pd.Series(out, dtype="object")
-
-    return cutter
 
 
 SQL = f"""
 WITH d AS (
-  SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text <> ''
+  SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND contains(text, chr(10))
 ), l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d
 ), h AS (
   SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l
-), r AS (
-  SELECT *, ({BASE} * lag(h) OVER w + h) % {PRIME} % {DIVISOR} = 0 AS hit FROM h
+), p AS (
+  SELECT *, ({BASE} * h + lead(h) OVER w) % {PRIME} AS pair, count(*) OVER (PARTITION BY doc_id) AS lines FROM h
   WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), r AS (
+  SELECT p.*, level, coalesce(pair % {LEVELS} = level, false) AS hit FROM p, range({LEVELS}) AS t(level)
+), s AS (
+  SELECT *, hit AND NOT coalesce(lag(hit) OVER w AND lag(pair) OVER w <= pair, false)
+                AND NOT coalesce(lead(hit) OVER w AND lead(pair) OVER w < pair, false) AS atom
+  FROM r WINDOW w AS (PARTITION BY doc_id, level ORDER BY i)
 ), g AS (
-  SELECT *, i > 1 AND (coalesce(lag(hit) OVER w, false) OR coalesce(lead(hit) OVER w, false)) AS starts FROM r
-  WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, i > 1 AND NOT coalesce(lag(atom) OVER w, false) AND (hit OR coalesce(lag(hit, 2) OVER w, false)) AS starts FROM s
+  WINDOW w AS (PARTITION BY doc_id, level ORDER BY i)
 ), c AS (
-  SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM g
+  SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id, level ORDER BY i) AS chunk FROM g
 ), k AS (
-  SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk
+  SELECT DISTINCT doc_id, a, b, body FROM (
+    SELECT doc_id, level, chunk, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS body
+    FROM c GROUP BY doc_id, level, chunk HAVING count(*) > 1)
 ), f AS (
-  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) AS occurrence FROM k
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS occurrence FROM k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS i FROM f WHERE occurrence > 1
 ), kept AS (
-  SELECT doc_id, sum(CASE WHEN n > 1 AND occurrence > 1 THEN n ELSE 0 END)::BIGINT AS removed_lines,
-         string_agg(body, chr(10) ORDER BY chunk) FILTER (n = 1 OR occurrence = 1) AS text
-  FROM f GROUP BY doc_id
+  SELECT l.doc_id, count(gone.i) AS removed_lines, string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS text
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
 )
 SELECT o.doc_id, CASE WHEN kept.doc_id IS NULL THEN o.text ELSE coalesce(kept.text, '') END AS text,
        o.lang, o.source, o.n_chars, coalesce(removed_lines, 0) AS removed_lines
