@@ -128,6 +128,26 @@ def distinct_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFra
         mark = now
 
 
+def forest(a, b):
+    """Of the pairs, those that first join two parts (a spanning forest), and a
+    function that tells a member's part."""
+    parent: dict = {}
+
+    def root(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            parent[max(rx, ry)] = min(rx, ry)
+            out.append((x, y))
+    return out, root
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int]) -> list[dict]:
     """At most ``bounds[k]`` labelled documents of each class k, to fit a model on.
 

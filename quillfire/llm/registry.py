@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from quillfire.llm import (
     chat_perspectives,
+    graph_search,
     line_chunks,
     merge_encode,
     mix_sources,
     quality_fm,
+    rotated_codes,
     simhash_vptree,
     token_counts,
     toxicity_fst,
@@ -35,10 +37,18 @@ def op5_simhash_vptree(spark, sf_dir):
     return simhash_vptree.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_rotated_codes(spark, sf_dir):
+    return rotated_codes.duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_chat_perspectives(spark, sf_dir):
     return chat_perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op8_graph_search(spark, sf_dir):
+    return graph_search.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -53,7 +63,9 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity_fst": op4_toxicity_fst,
     "op5_simhash_vptree": op5_simhash_vptree,
+    "op6_rotated_codes": op6_rotated_codes,
     "op7_chat_perspectives": op7_chat_perspectives,
+    "op8_graph_search": op8_graph_search,
     "op9_token_counts": op9_token_counts,
     "op10_mix_sources": op10_mix_sources,
 }

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfire.llm.common import distinct_components, project, settle, slices
+from quillfire.llm.common import distinct_components, forest, project, settle, slices
 
 RADIUS = 10  # of 64 bits
 CONFIRM = 22  # of both hashes' 128 bits
@@ -181,25 +181,6 @@ def close_pairs(fa, ga, na, fb, gb, nb, same: bool, radius: int, confirm: int, f
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (z, z)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the pairs, those that first join two parts: a spanning forest."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
-
-
 def edges(reps: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, factor: float = FACTOR, block: int = BLOCK) -> DataFrame:
     """Pairs ``a, b`` of matching documents, enough of them to connect every
     group of matches (a spanning forest of each compared block).
@@ -247,7 +228,7 @@ def edges(reps: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, factor:
         a = cols["at"] == i
         b = a if i == j else cols["at"] == j
         x, y = close_pairs(f[a], g[a], cols["n"][a], f[b], g[b], cols["n"][b], i == j, radius, confirm, factor)
-        found = forest(cols["doc_id"][a][x], cols["doc_id"][b][y])
+        found, _ = forest(cols["doc_id"][a][x], cols["doc_id"][b][y])
         return pa.table({k: pa.array([e[p] for e in found], t.schema.field("doc_id").type) for p, k in enumerate("ab")})
 
     return tasks.groupBy("leaf", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
