@@ -53,7 +53,7 @@ def settle(df: DataFrame) -> DataFrame:
     twice; a lost executor loses nothing of it.
     """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

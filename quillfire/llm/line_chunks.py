@@ -132,10 +132,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     names = [c for c in docs.columns if c != "removed_lines"]
     seen = settle(occurrences(docs))
+    # digests that occur again, with 24 bytes a chunk shuffled; what is left for the first one's place is little
+    again = seen.join(seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digest")
+    again = settle(again)
     where = F.struct("_id", "_tag", "a")
-    # a digest that stands in two places at least; partial minima come before the shuffle
-    ends = seen.groupBy("digest").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").select("digest", "first")
-    again = seen.join(ends, "digest").select("_id", "_tag", F.struct("digest", "a", "b", (where == F.col("first")).alias("f")).alias("w"))
+    ends = again.groupBy("digest").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").select("digest", "first")
+    again = again.join(ends, "digest").select("_id", "_tag", F.struct("digest", "a", "b", (where == F.col("first")).alias("f")).alias("w"))
     wanted = again.groupBy("_id", "_tag").agg(F.sort_array(F.collect_set("w")).alias("want"))
     both = settle(_keyed(docs, names).join(wanted, ["_id", "_tag"], "left"))
     text = f"_row.f{names.index('text')}"
