@@ -1,0 +1 @@
+"""Document search, ranking and faceting as Spark plans."""
