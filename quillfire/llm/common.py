@@ -76,6 +76,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
         yield batch.slice(start)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many tasks as the session's shuffles have.
+
+    For groups that cost far more than their bytes tell: adaptive execution would
+    gather small partitions into few tasks, and leaves a given number alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class Generations:
     """A dictionary that forgets: at most ``2 * size`` entries, the newest kept.
 

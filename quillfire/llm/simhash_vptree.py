@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfire.llm.common import distinct_components, forest, project, settle, slices
+from quillfire.llm.common import distinct_components, forest, project, settle, slices, spread
 
 RADIUS = 10  # of 64 bits
 CONFIRM = 22  # of both hashes' 128 bits
@@ -231,7 +231,7 @@ def edges(reps: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, factor:
         found, _ = forest(cols["doc_id"][a][x], cols["doc_id"][b][y])
         return pa.table({k: pa.array([e[p] for e in found], t.schema.field("doc_id").type) for p, k in enumerate("ab")})
 
-    return tasks.groupBy("leaf", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+    return spread(tasks, "leaf", "i", "j").groupBy("leaf", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, factor: float = FACTOR) -> DataFrame:
