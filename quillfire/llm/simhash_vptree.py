@@ -34,7 +34,8 @@ RADIUS = 10  # of 64 bits
 CONFIRM = 22  # of both hashes' 128 bits
 FACTOR = 1.3
 WORD = re.compile(r"\w+")
-BLOCK = 4096
+BLOCK = 16_384  # documents of a compared block; each document is sent once for every block of its leaf
+LEAF = 8192
 SAMPLE = 8192
 
 
@@ -122,7 +123,7 @@ class Tree:
         return r[keep], leaf[keep], mine[keep]
 
 
-def plant(f: np.ndarray, ln: np.ndarray, total: int, radius: float, c: float, leaf_rows: int = 2 * BLOCK, seed: int = 5) -> Tree:
+def plant(f: np.ndarray, ln: np.ndarray, total: int, radius: float, c: float, leaf_rows: int = LEAF, seed: int = 5) -> Tree:
     """A tree for ``total`` documents of which a sample is given.
 
     The vantage point is, of some candidates, the one whose distances spread

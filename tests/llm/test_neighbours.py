@@ -39,7 +39,7 @@ def texts(n=400, seed=3):
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 16])
+@pytest.mark.parametrize("block", [16_384, 16])
 def test_simhash_against_brute_force(spark, block):
     docs = texts()
     f, g, n = simhash_vptree.signatures(list(docs.values()))
@@ -50,7 +50,7 @@ def test_simhash_against_brute_force(spark, block):
     ]
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     assert len(want) > 50
-    if block == 4096:
+    if block == 16_384:
         assert {r.doc_id: r.duplicate_of for r in simhash_vptree.duplicates(df).collect()} == components(want)
     reps = simhash_vptree.fingerprints(df).groupBy("f", "g", "n").agg(F.min("doc_id").alias("doc_id")).cache()
     got = components((r.a, r.b) for r in simhash_vptree.edges(reps, block=block).collect())
