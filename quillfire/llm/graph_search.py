@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillfire.llm.common import project, settle
+from quillfire.llm.common import project, settle, spread
 from quillfire.llm.rotated_codes import _vectors, unit_rows
 
 K = 10
@@ -194,7 +194,7 @@ def neighbours(
         })
 
     made = "dim int, shard int, size int, entry int, x binary, edges binary"
-    graphs = settle(placed.groupBy("dim", "shard").applyInArrow(make, f"{made}, ids array<array<{kind}>>"))
+    graphs = settle(spread(placed, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, f"{made}, ids array<array<{kind}>>"))
     blocks = nodes.select("dim", "v", "node", F.pmod(F.xxhash64("v", F.lit(1)), parts(block)).cast("int").alias("block"))
     asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), parts(shard).cast("int") - 1)))
     takers = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), parts(block).cast("int") - 1)))
@@ -216,7 +216,7 @@ def neighbours(
         return pa.table([queries.column("node"), pa.array(found, schema.field("found").type)], schema=schema)
 
     keys = ("dim", "shard", "block")
-    answers = takers.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(ask, f"node bigint, found array<struct<d:double,id:{kind}>>")
+    answers = spread(takers, *keys).groupBy(*keys).cogroup(spread(asked, *keys).groupBy(*keys)).applyInArrow(ask, f"node bigint, found array<struct<d:double,id:{kind}>>")
     merged = answers.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
     each = rows.join(nodes.select("v", "node"), "v").select("id", "node").join(merged, "node")
     best = F.slice(F.filter(F.array_distinct(F.transform("found", lambda x: x["id"])), lambda x: x != F.col("id")), 1, k)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfire.llm.common import distinct_components, forest, project, settle
+from quillfire.llm.common import distinct_components, forest, project, settle, spread
 
 THRESHOLD = 0.95
 RECALL = 0.98  # of pairs exactly at the threshold; closer ones have more
@@ -190,7 +190,8 @@ def edges(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         t_id = t.schema.field("id").type
         return pa.table({"a": pa.array([e[0] for e in both], t_id), "b": pa.array([e[1] for e in both], t_id), "sure": pa.array([e[2] for e in both], pa.bool_())})
 
-    met = tasks.groupBy("dim", "band", "bucket", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, sure boolean")
+    keys = ("dim", "band", "bucket", "i", "j")
+    met = spread(tasks, *keys).groupBy(*keys).applyInArrow(compare, f"a {kind}, b {kind}, sure boolean")
     met = settle(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure")))
     dot = lambda p, q: F.aggregate(
         F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, e: s + e
