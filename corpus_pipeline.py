@@ -22,9 +22,9 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks of lines; ``n_chars`` follows a text that
-    was cut.  Every document stays, an emptied one too."""
-    out = line_chunks.dedup_lines(docs)
+    """Texts without repeated passages of two lines or more; ``n_chars`` follows
+    a text that was cut.  Every document stays, an emptied one too."""
+    out = line_chunks.dedup_lines(docs, every_pair=True)
     size = F.when(F.col("removed_lines") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", size).select(*COLUMNS)
 

@@ -9,6 +9,12 @@ whatever stands around it, and a passage whose edges fall within a chunk at one
 level is cut out at another.  Chunks of at least two lines that occur again
 anywhere in the corpus are removed, after their bytes were compared, all but the
 first occurrence.
+
+Anchors that overlap suppress one another, so short passages are missed and the
+edges of others depend on their neighbours.  With ``every_pair`` each two adjacent
+lines are a chunk of their own instead.  A longer chunk that occurs again consists
+of pairs that do, so that removes whatever the levels would, and every repeated
+passage of two lines or more whole.
 """
 
 from __future__ import annotations
@@ -54,8 +60,10 @@ def boundaries(h: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return out
 
 
-def chunks(lines: list[str]) -> list[tuple[int, int]]:
+def chunks(lines: list[str], every_pair: bool = True) -> list[tuple[int, int]]:
     """(start, end) of the chunks of one document, each once."""
+    if every_pair:
+        return [(k, k + 2) for k in range(len(lines) - 1)]
     h = np.array([int.from_bytes(md5(x.encode()).digest()[:4], "big") for x in lines], "i8")
     ends = np.zeros(len(h), bool)
     ends[-1] = True
@@ -71,7 +79,7 @@ def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, every_pair: bool = False) -> DataFrame:
     """``digest, _id, _tag, a, b`` of every chunk; map-only."""
     rows = docs.select(docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_tag"), docs["text"].alias("_text"))
     rows = rows.where("_id is not null and instr(_text, '\n') > 0")
@@ -95,9 +103,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
             if not h:
                 continue
             doc, starts = np.array(doc), np.array(starts + [0])
-            levels = boundaries(np.frombuffer(b"".join(h), ">u4").astype("i8"), np.array(ends))
-            key = np.unique(np.concatenate([s * (len(h) + 1) + e for s, e in levels]))
-            s, e = key // (len(h) + 1), key % (len(h) + 1)
+            if every_pair:
+                s = np.nonzero(~np.array(ends))[0]
+                e = s + 2
+            else:
+                levels = boundaries(np.frombuffer(b"".join(h), ">u4").astype("i8"), np.array(ends))
+                key = np.unique(np.concatenate([s * (len(h) + 1) + e for s, e in levels]))
+                s, e = key // (len(h) + 1), key % (len(h) + 1)
             owner = doc[s]
             stop = np.array([len(r) + 1 for r in raws])[owner]
             inner = e < len(h)
@@ -114,10 +126,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(digest, f"digest binary, _id {kind}, _tag bigint, a int, b int")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, every_pair: bool = False) -> DataFrame:
     """The input's columns, ``text`` without repeated chunks, and
     ``removed_lines``; one row for each input row.
 
+    ``every_pair`` makes each two adjacent lines a chunk; without it the chunks
+    are those of ``SQL``, which miss short passages.
+
     The first occurrence of a chunk, by (doc_id, hash of the text, line), stays
     unless an overlapping chunk that occurred still earlier covers it.  A chunk
     whose digest agrees with the first one's but whose bytes don't is kept.  A
@@ -131,7 +146,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     and the texts once, to bring them to their documents' chunks.
     """
     names = [c for c in docs.columns if c != "removed_lines"]
-    seen = settle(occurrences(docs))
+    seen = settle(occurrences(docs, every_pair))
     # digests that occur again, with 24 bytes a chunk shuffled; what is left for the first one's place is little
     again = seen.join(seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digest")
     again = settle(again)

@@ -56,6 +56,23 @@ def test_line_chunks_catch_passages(spark):
     assert all(out[i].text == t for i, t, _ in items if not any("\n".join(p[:2]) in t for p in shared))
 
 
+def test_every_pair_leaves_no_passage_line(spark):
+    rng = random.Random(6)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(4))
+    items, later = [], []
+    for n in (2, 3, 5, 8, 12):
+        for _ in range(20):
+            p = [line() for _ in range(n)]
+            for again in (False, True):
+                before, after = ([line() for _ in range(rng.randrange(1, 6))] for _ in range(2))
+                later += [(len(items), n, before + after)] * again
+                items.append((len(items), "\n".join(before + p + after), "s"))
+    out = {r.doc_id: r for r in line_chunks.dedup_lines(documents(spark, items), every_pair=True).collect()}
+    assert len(later) == 100
+    assert all(out[i].text == "\n".join(own) and out[i].removed_lines == n for i, n, own in later)
+    assert all(out[i - 1].text == items[i - 1][1] for i, _, _ in later)
+
+
 def test_line_chunks_odd_rows(spark, rows):
     docs = documents(spark, [(1, "a\nb", "s"), (1, "a\nb", "s"), (2, "a\nb", "s"), (None, "a\nb", "s"), (3, None, "s"), (4, "", None)])
     docs = docs.withColumn("removed_lines", F.lit("mine")).withColumn("_id", F.lit(7)).withColumn("_gone", F.lit("x")).withColumn("want", F.lit(1))
