@@ -70,17 +70,18 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, f, g, n`` of each document with an id and a text."""
+    """``doc_id, tag, f, g, n`` of each document with an id and a text; ``tag``
+    tells apart different texts that share an id."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             f, g, n = signatures(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(f.view("<i8")), pa.array(g.view("<i8")), pa.array(n)], ["doc_id", "f", "g", "n"]
+                [batch.column("doc_id"), batch.column("tag"), pa.array(f.view("<i8")), pa.array(g.view("<i8")), pa.array(n)], ["doc_id", "tag", "f", "g", "n"]
             )
 
-    src = project(docs, doc_id="doc_id", text="text").where("doc_id is not null and text != ''")
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, f bigint, g bigint, n bigint")
+    src = project(docs, doc_id="doc_id", text="text").where("doc_id is not null and text != ''").withColumn("tag", F.xxhash64("text"))
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, tag bigint, f bigint, g bigint, n bigint")
 
 
 def distance(f, ln, vf, vln, c: float) -> np.ndarray:
@@ -235,28 +236,37 @@ def edges(reps: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, factor:
     return spread(tasks, "leaf", "i", "j").groupBy("leaf", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _named(docs: DataFrame, radius: int, confirm: int, factor: float) -> DataFrame:
+    """``doc_id, tag, duplicate_of`` of every text that isn't kept."""
+    prints = settle(fingerprints(docs))
+    same = ["f", "g", "n"]
+    # an id may have several texts, so a node is a fingerprint
+    reps = settle(prints.groupBy(*same).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    roots = distinct_components(edges(reps.select(F.col("node").alias("doc_id"), *same), radius, confirm, factor))
+    groups = reps.join(roots, reps["node"] == roots["node"], "left").select(*same, "least", F.coalesce("root", reps["node"]).alias("group"))
+    kept = groups.join(groups.groupBy("group").agg(F.min("least").alias("duplicate_of")), "group").select(*same, "duplicate_of")
+    return prints.join(kept, same).where("doc_id != duplicate_of").select("doc_id", "tag", "duplicate_of")
+
+
 def duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, factor: float = FACTOR) -> DataFrame:
     """``doc_id, duplicate_of`` of every document that isn't the one its group
     keeps; the kept one, ``duplicate_of``, has the group's least id.
 
     Groups are the connected components of matches.  Documents without an id or
     with a null or empty text match nothing; a text without any word matches
-    only its like.  Rows that share an id are one document, so they are no
-    copies of each other.  Whole texts are read.  Other columns are ignored; an
+    only its like.  Rows that share an id are no copies of each other; where
+    their texts differ, each text is compared by itself, and the id is named for
+    each of them that is a copy.  Whole texts are read.  Other columns are ignored; an
     empty table gives an empty result.
 
     Texts are read once and never shuffled; what is shuffled is 32 bytes a
     document and visited leaf.  Exact copies collapse before the search.
     """
-    prints = settle(fingerprints(docs))
-    same = ["f", "g", "n"]
-    reps = settle(prints.groupBy(*same).agg(F.min("doc_id").alias("doc_id")))
-    roots = distinct_components(edges(reps, radius, confirm, factor))
-    kept = reps.join(roots, reps["doc_id"] == roots["node"], "left").select(*same, F.coalesce("root", "doc_id").alias("duplicate_of"))
-    return prints.join(kept, same).where("doc_id != duplicate_of").select("doc_id", "duplicate_of").distinct()
+    return _named(docs, radius, confirm, factor).select("doc_id", "duplicate_of").distinct()
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`duplicates` doesn't name, unchanged."""
-    named = duplicates(docs).select(F.col("doc_id").alias("_dup"))
-    return docs.join(named, docs["doc_id"] == named["_dup"], "left_anti")
+    """The rows of ``docs`` whose id and text :func:`duplicates` doesn't mean,
+    unchanged."""
+    named = _named(docs, RADIUS, CONFIRM, FACTOR).select(F.col("doc_id").alias("_dup"), F.col("tag").alias("_tag"))
+    return docs.join(named, (docs["doc_id"] == named["_dup"]) & (F.xxhash64(docs["text"]) == named["_tag"]), "left_anti")

@@ -85,6 +85,14 @@ def test_simhash_odd_rows(spark):
     assert simhash_vptree.duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_ids_with_several_texts(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (7, a), (7, b), (9, b), (9, c)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.duplicate_of) for r in simhash_vptree.duplicates(docs).collect()} == {(7, 1), (9, 7)}
+    assert {(r.doc_id, r.text) for r in simhash_vptree.drop_duplicates(docs).collect()} == {(1, a), (7, b), (9, c)}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in distinct_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
