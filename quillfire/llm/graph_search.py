@@ -27,27 +27,32 @@ DEGREE = 32
 BEAM = 96
 BUILD_BEAM = 64
 ALPHA = 1.2
+ENTRIES = 32  # vectors at which a search starts
 EXPAND = 4  # vectors expanded in one step of a search
 
 
 class Graph:
-    """Unit vectors ``x`` and ``edges``, one row of neighbours each, -1 for none."""
+    """Unit vectors ``x`` and ``edges``, one row of neighbours each, -1 for none;
+    searches start at all of ``entries``."""
 
-    def __init__(self, x: np.ndarray, edges: np.ndarray | None = None, entry: int = 0):
-        self.x, self.entry = x, entry
+    def __init__(self, x: np.ndarray, edges: np.ndarray | None = None, entries: np.ndarray | None = None):
+        self.x, self.entries = x, np.zeros(min(1, len(x)), "i4") if entries is None else entries
         self.edges = np.full((len(x), DEGREE), -1, "i4") if edges is None else edges
 
     def search(self, q: np.ndarray, beam: int, trail: bool = False):
         """Positions and similarities of the best ``beam`` found for each query,
         best first, -1 where there are fewer; with ``trail`` all that were
         expanded instead."""
-        n, b = len(self.x), len(q)
+        n, b, e = len(self.x), len(q), min(len(self.entries), beam)
         ids = np.full((b, beam), -1, "i4")
         sim = np.full((b, beam), -np.inf, "f4")
         done = np.ones((b, beam), bool)
-        ids[:, 0], sim[:, 0], done[:, 0] = self.entry, q @ self.x[self.entry], False
+        first = self.entries[:e]
+        ids[:, :e], sim[:, :e], done[:, :e] = first, q @ self.x[first].T, False
+        order = np.argsort(-sim, axis=1, kind="stable")
+        ids, sim, done = (np.take_along_axis(a, order, 1) for a in (ids, sim, done))
         seen = np.zeros((b, n + 1), bool)
-        seen[:, self.entry] = seen[:, n] = True
+        seen[:, first] = seen[:, n] = True
         expanded = []
         live = np.arange(b)
         while len(live):
@@ -134,12 +139,54 @@ class Graph:
             self.edges[targets[some]] = self.prune(targets[some], wide)
 
 
+    def reached(self) -> np.ndarray:
+        """Whether each vector can be reached from the entries."""
+        out = np.zeros(len(self.x) + 1, bool)
+        out[-1] = True  # where -1 points
+        now = self.entries
+        while len(now):
+            out[now] = True
+            now = np.unique(self.edges[now])
+            now = now[~out[now]]
+        return out[:-1]
+
+    def reach(self) -> None:
+        """Give each vector that can't be reached an edge from the closest one
+        found that has room; edges that stand stay."""
+        while len(lost := np.nonzero(~self.reached())[0]):
+            full = (self.edges >= 0).sum(axis=1)
+            most = max(self.edges.shape[1], int(full.max()) + 1, DEGREE + 8)
+            self.edges = np.pad(self.edges, ((0, 0), (0, most - self.edges.shape[1])), constant_values=-1)
+            for k in range(0, len(lost), 256):
+                some = lost[k : k + 256]
+                for u, found in zip(some, self.search(self.x[some], BUILD_BEAM)[0]):
+                    for t in found[found >= 0]:
+                        if full[t] < most:
+                            self.edges[t, full[t]] = u
+                            full[t] += 1
+                            break
+
+
+def spread_entries(x: np.ndarray) -> np.ndarray:
+    """The vector closest to the mean, and each next one the farthest from those
+    that were taken; so a group of near copies holds few of them."""
+    taken = [int(np.argmax(x @ x.mean(axis=0)))]
+    near = x @ x[taken[0]]
+    while len(taken) < min(ENTRIES, len(x)):
+        taken.append(int(np.argmin(near)))
+        near = np.maximum(near, x @ x[taken[-1]])
+        near[taken] = np.inf
+    return np.array(taken, "i4")
+
+
 def build(x: np.ndarray) -> Graph:
-    """The graph of a shard; the entry is the vector closest to the mean."""
-    g = Graph(x, entry=int(np.argmax(x @ x.mean(axis=0))) if len(x) else 0)
+    """The graph of a shard; every vector can be reached from the entries."""
+    g = Graph(x, entries=spread_entries(x) if len(x) else None)
     order = np.random.default_rng(3).permutation(len(x))
-    order = np.concatenate([[g.entry], order[order != g.entry]]).astype("i8")
-    done = 1
+    order = np.concatenate([g.entries, order[~np.isin(order, g.entries)]]).astype("i8")
+    done = len(g.entries)
+    if done:
+        g.edges[g.entries] = g.prune(g.entries, np.tile(g.entries, (done, 1)))
     while done < len(x):
         new = order[done : done + min(done, 512)]
         for k in range(0, len(new), 256):
@@ -148,6 +195,7 @@ def build(x: np.ndarray) -> Graph:
             g.edges[some] = g.prune(some, self_free)
         g.link(new)
         done += len(new)
+    g.reach()
     return g
 
 
@@ -188,12 +236,12 @@ def neighbours(
         g = build(x)
         flat = lambda a, to: pa.array([a.tobytes()], to)
         return pa.table({
-            "dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "size": pa.array([len(x)], pa.int32()), "entry": pa.array([g.entry], pa.int32()),
+            "dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "size": pa.array([len(x)], pa.int32()), "entries": flat(g.entries, pa.binary()),
             "x": flat(g.x, pa.binary()), "edges": flat(g.edges, pa.binary()),
             "ids": pa.array([t.column("ids").to_pylist()], pa.list_(t.schema.field("ids").type)),
         })
 
-    made = "dim int, shard int, size int, entry int, x binary, edges binary"
+    made = "dim int, shard int, size int, entries binary, x binary, edges binary"
     graphs = settle(spread(placed, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, f"{made}, ids array<array<{kind}>>"))
     blocks = nodes.select("dim", "v", "node", F.pmod(F.xxhash64("v", F.lit(1)), parts(block)).cast("int").alias("block"))
     asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), parts(shard).cast("int") - 1)))
@@ -205,7 +253,7 @@ def neighbours(
         if not graph.num_rows or not queries.num_rows:
             return schema.empty_table()
         g = graph.to_pylist()[0]
-        made = Graph(np.frombuffer(g["x"], "f4").reshape(g["size"], -1), np.frombuffer(g["edges"], "i4").reshape(g["size"], -1), g["entry"])
+        made = Graph(np.frombuffer(g["x"], "f4").reshape(g["size"], -1), np.frombuffer(g["edges"], "i4").reshape(g["size"], -1), np.frombuffer(g["entries"], "i4"))
         (_, q), = unit_rows(queries.column("v").combine_chunks())
         found = []
         for at in range(0, len(q), 256):

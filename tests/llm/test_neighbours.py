@@ -170,6 +170,19 @@ def test_graph_recall(spark, shard):
     assert hits >= 0.95 * 10 * len(x)
 
 
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.5])
+def test_graph_recall_beside_near_copies(share):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    m = int(len(x) * share)
+    x[:m] = rng.normal(size=64) + 0.05 * rng.normal(size=(m, 64))
+    x = unit(x[rng.permutation(len(x))]).astype("f4")
+    g = graph_search.build(x)
+    _, sim = g.search(x, graph_search.BEAM)
+    kth = np.sort(x @ x.T, axis=1)[:, -11]
+    assert g.reached().all() and (sim[:, :11] >= kth[:, None] - 1e-6).mean() >= 0.97
+
+
 def test_graph_odd_rows(spark):
     df = spark.createDataFrame(ODD, "vec_id bigint, embedding array<float>").withColumn("node", F.lit("x")).withColumn("dim", F.lit(0))
     got = [(r.vec_id, r.neighbour, r["rank"], r.similarity) for r in graph_search.neighbours(df, k=2).orderBy("vec_id", "rank").collect()]
