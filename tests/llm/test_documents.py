@@ -73,6 +73,21 @@ def test_every_pair_leaves_no_passage_line(spark):
     assert all(out[i - 1].text == items[i - 1][1] for i, _, _ in later)
 
 
+@pytest.mark.parametrize("every_pair, most", [(False, {2: 0.42, 3: 0.28, 5: 0.2, 8: 0.14, 12: 0.1}), (True, dict.fromkeys((2, 3, 5, 8, 12), 0))])
+def test_share_of_passage_lines_left(every_pair, most):
+    rng = random.Random(4)
+    line = lambda: str(rng.random())
+    for n, share in most.items():
+        left = 0
+        for _ in range(300):
+            p = [line() for _ in range(n)]
+            (x, _), (y, at) = [(a + p + [line() for _ in range(4)], len(a)) for a in ([line() for _ in range(rng.randrange(1, 9))] for _ in range(2))]
+            seen = {tuple(x[a:b]) for a, b in line_chunks.chunks(x, every_pair)}
+            gone = {i for a, b in line_chunks.chunks(y, every_pair) if tuple(y[a:b]) in seen for i in range(a, b)}
+            left += len(set(range(at, at + n)) - gone)
+        assert left <= share * 300 * n
+
+
 def test_line_chunks_odd_rows(spark, rows):
     docs = documents(spark, [(1, "a\nb", "s"), (1, "a\nb", "s"), (2, "a\nb", "s"), (None, "a\nb", "s"), (3, None, "s"), (4, "", None)])
     docs = docs.withColumn("removed_lines", F.lit("mine")).withColumn("_id", F.lit(7)).withColumn("_gone", F.lit("x")).withColumn("want", F.lit(1))
