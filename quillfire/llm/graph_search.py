@@ -199,6 +199,21 @@ def build(x: np.ndarray) -> Graph:
     return g
 
 
+def answer(ids: list[list], nodes: np.ndarray, sim: np.ndarray, k: int, last: bool = False) -> list[dict] | None:
+    """Distances and ids of ``nodes``, best first, until k + 1 nodes and k + 1
+    different ids are there, each id once; None where they run out sooner, unless
+    they are the ``last``."""
+    out: dict = {}
+    for at, node in enumerate(nodes.tolist()):
+        if at > k and len(out) > k:
+            break
+        for x in ids[node]:
+            out.setdefault(x, round(1 - float(sim[at]), 6))
+    if len(out) <= k and not last and len(nodes) < len(ids):
+        return None
+    return [{"d": d, "id": x} for x, d in out.items()]
+
+
 def neighbours(
     table: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK, beam: int = BEAM,
     id_col: str = "vec_id", vec_col: str = "embedding",
@@ -209,8 +224,9 @@ def neighbours(
     Rows without an id or an embedding, with an empty one, with nulls or numbers
     that aren't finite in it, or of length 0, neither ask nor answer; vectors of
     different dimensions don't meet.  Rows with the same id and embedding are
-    one; a row is no neighbour of its own id.  Other columns are ignored; an
-    empty table gives an empty result.
+    one; a row is no neighbour of its own id.  Where the beam holds too few
+    different ids, as an id has many close vectors, the query is compared with the
+    whole shard.  Other columns are ignored; an empty table gives an empty result.
 
     Equal vectors are one node, however many rows have them, and each of the rows
     gets the answer.  A shard's graph is built once and stored; each task takes
@@ -258,9 +274,12 @@ def neighbours(
         found = []
         for at in range(0, len(q), 256):
             ids, sim = made.search(q[at : at + 256], beam)
-            far = (1 - sim[:, : k + 1].astype("f8")).round(6)
-            for row, ds in zip(ids[:, : k + 1].tolist(), far.tolist()):
-                found.append([{"d": d, "id": x} for a, d in zip(row, ds) if a >= 0 for x in g["ids"][a]])
+            for row, far, x in zip(ids, sim, q[at : at + 256]):
+                if (hits := answer(g["ids"], row[row >= 0], far, k)) is None:
+                    every = made.x @ x
+                    order = np.argsort(-every, kind="stable")
+                    hits = answer(g["ids"], order, every[order], k, True)
+                found.append(hits)
         return pa.table([queries.column("node"), pa.array(found, schema.field("found").type)], schema=schema)
 
     keys = ("dim", "shard", "block")

@@ -183,6 +183,17 @@ def test_graph_recall_beside_near_copies(share):
     assert g.reached().all() and (sim[:, :11] >= kth[:, None] - 1e-6).mean() >= 0.97
 
 
+def test_graph_ids_with_many_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(190, 16))
+    x[:150] = x[0] + 0.01 * rng.normal(size=(150, 16))
+    ids = [1] * 150 + list(range(2, 42))
+    df = spark.createDataFrame(list(zip(ids, x.astype("f4").tolist())), "vec_id bigint, embedding array<float>")
+    got = [(r.vec_id, r.neighbour) for r in graph_search.neighbours(df).collect()]
+    assert len(got) == 190 * 10 and all(a != b for a, b in got)
+    assert all(len({b for a, b in got if a == i}) == 10 for i in range(2, 42))
+
+
 def test_graph_odd_rows(spark):
     df = spark.createDataFrame(ODD, "vec_id bigint, embedding array<float>").withColumn("node", F.lit("x")).withColumn("dim", F.lit(0))
     got = [(r.vec_id, r.neighbour, r["rank"], r.similarity) for r in graph_search.neighbours(df, k=2).orderBy("vec_id", "rank").collect()]
