@@ -49,27 +49,113 @@ def value(text):
 
 
 def test_grammar():
-    insult, aimed = value("what an idiot")[0], value("you are an idiot")[0]
-    assert 0 < insult < 1 <= aimed
-    assert value("you are not an idiot")[0] == 0
+    aimed = value("you are an idiot")[0]
+    assert aimed >= 1 and value("idiot")[0] == 0
+    # no number of words by themselves adds up
+    assert value("what an idiot. what a moron. idiot! moron")[0] == 0 and value("\n".join(["idiot"] * 50))[0] == 0
+    assert value("you are not an idiot")[0] == 0 and value("you are an idiot, not")[0] == 0 and value("an idiot he is not.")[0] == 0
+    assert value("you are an idiot not a friend")[0] >= 1
     assert value("she said you are an idiot")[0] < 0.5 and value('he wrote "you are an idiot" there')[0] < 0.5
+    assert value('She said "You are an idiot. You are scum."')[0] < 0.5 and value('"Not so."\nyou are scum')[0] >= 1
+    assert value("I said hello you idiot")[0] >= 1 and value('he said "hello" you idiot')[0] >= 1
     assert value("I will kill you")[0] >= 1 and value("they kill time")[0] == 0 and value("I will not kill you")[0] == 0
+    assert 0 < value("the idiot came")[0] < 1 <= value("worthless old trash")[0]
     assert value("it is not late. you are an idiot")[0] == aimed
     assert value("idiotic")[0] == 0 and value(None) == (0.0, 0) and value("") == (0.0, 0)
     assert value("calm words. " * 50_000 + "you are an idiot")[0] == aimed
-
-
-def test_composition():
-    """The composed machine does what its parts do one after the other."""
+    assert value("you are an idiot. the weather is fine. you moron")[1] == 2
+
+
+def by_rules(s):
+    """(score, clauses that score) of a line's classes, rule by rule without a machine."""
+    n = len(s)
+    out = set()  # negated or reported
+    for i in range(n):
+        if s[i] not in "IT":
+            continue
+        if any(s[j] == "N" and all(s[k] in "YDFMN" or k in out for k in range(j + 1, i)) for j in range(max(0, i - 3), i)):
+            out.add(i)
+        for m in range(3):
+            k = i + 1 + m
+            if k + 1 < n and all(x in "YDF" for x in s[i + 1 : k]) and s[k] == "N" and s[k + 1] in "SLQ":
+                out.add(i)
+    quoted = [s[:i].count("Q") % 2 == 1 for i in range(n)]
+    said = set()
+    for i in range(n):
+        for j in range(i):
+            if s[j] == "R" and not quoted[j] and not set(s[j:i]) & set("SQ"):
+                k = j - 1
+                while k >= 0 and s[k] in "MFN":
+                    k -= 1
+                said |= {i} if not (k >= 0 and s[k] == "E") else set()
+    said |= {i for i in range(n) if quoted[i]}
+    said = {i for i in said if s[i] in "IT"}
+    gone = out | said
+    live = [i for i in range(n) if s[i] == "I" and i not in gone]
+    weight = dict.fromkeys(range(n), 0.0)
+    wall = {i for i in range(n) if s[i] in "SLQ"} | gone
+    seen = lambda i, c: any(s[j] == c and not wall & set(range(j, i)) for j in range(max(0, i - 3), i))
+    for i in live:
+        if seen(i, "Y"):
+            weight[i] += toxicity_fst.AIMED
+            continue
+        bound = seen(i, "D")
+        weight[i] += toxicity_fst.BOUND * bound
+        for p in range(i + 1, min(n, i + 4)):
+            if p in wall or p in live:
+                break
+            if s[p] == "D" and not bound:
+                bound = True
+                weight[p] += toxicity_fst.BOUND
+            if s[p] == "Y":
+                weight[p] += toxicity_fst.AIMED - toxicity_fst.BOUND * bound
+                break
+    for i in said:
+        weight[i] += toxicity_fst.REPORTED
+    threat = [i for i in range(n) if s[i] == "T" and i not in gone and any(s[j] == "M" and set(s[j + 1 : i]) <= set("MYDFN") for j in range(max(0, i - 3), i))]
+    for i in threat:
+        weight[i] += toxicity_fst.THREAT
+        for p in range(i + 1, min(n, i + 4)):
+            if s[p] in "SL" or p in threat:
+                break
+            if s[p] == "Y":
+                weight[p] += toxicity_fst.AT_TARGET
+                break
+    total = clauses = 0
+    start = 0
+    for i in range(n):
+        if s[i] in "SL":
+            mine = [k for k in live if start <= k <= i]
+            w = sum(weight[k] for k in range(start, i + 1)) + toxicity_fst.PILED * (len(mine) > 1)
+            total, clauses, start = total + w, clauses + (w > 0), i + 1
+    return total, clauses
+
+
+def test_machine_against_rules():
     rng = np.random.default_rng(1)
-    parts = [toxicity_fst.negation(), toxicity_fst.reporting(), toxicity_fst.threats(), toxicity_fst.verdict()]
-    for _ in range(500):
-        text = "".join(rng.choice(list(toxicity_fst.ALPHABET), rng.integers(0, 15)))
-        out, total = text, 0.0
-        for p in parts:
-            out, w = p.run(out)
-            total += w
-        assert toxicity_fst.grammar().run(text)[1] == pytest.approx(total)
+    machine, parts = toxicity_fst.grammar(), toxicity_fst.parts()
+    for _ in range(20_000):
+        text = "".join(rng.choice(list("IITYDDNREQMFXS"), rng.integers(0, 16))) + "L"
+        total = machine.run(text)[1]
+        assert total == pytest.approx(by_rules(text)[0]), text
+        given, weight = text, 0.0
+        for p in parts:  # the composed machine does what its parts do one after the other
+            given, w = p.run(given)
+            weight += w
+        assert total == pytest.approx(weight)
+
+
+def test_documents_against_rules(spark, sf_dir):
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    classes, stems, _ = toxicity_fst.words(toxicity_fst.stems_for(docs, labels))
+    want = {}
+    for r in docs.collect():
+        lines = [by_rules(toxicity_fst.classify(x, classes, stems)) for x in r.text.lower().split("\n")]
+        if (total := round(sum(w for w, _ in lines), 6)) >= 1:
+            want[r.doc_id] = (total, sum(n for _, n in lines))
+    got = {r.doc_id: (r.score, r.n_clauses) for r in toxicity_fst.toxic_documents(docs, labels).collect()}
+    assert got == want and len(got) > 20
 
 
 def test_toxicity_held_out(spark, sf_dir):
@@ -82,6 +168,12 @@ def test_toxicity_held_out(spark, sf_dir):
 
 
 def test_toxicity_odd_rows(spark):
-    docs = spark.createDataFrame([(1, "you idiot"), (1, "you idiot"), (2, None), (None, "you are scum"), (3, "")], "doc_id bigint, text string").withColumn("score", F.lit("x"))
-    assert sorted((r.doc_id for r in toxicity_fst.toxic_documents(docs).collect()), key=repr) == [1, 1, None]
+    items = [(1, "you idiot"), (1, "you idiot"), (2, None), (None, "you are scum"), (3, ""), (1, "calm"), (4, "x " * 300_000 + "you scum")]
+    docs = spark.createDataFrame(items, "doc_id bigint, text string").withColumn("score", F.lit("x"))
+    assert sorted((r.doc_id for r in toxicity_fst.toxic_documents(docs).collect()), key=repr) == [1, 1, 4, None]
     assert toxicity_fst.toxic_documents(docs.limit(0)).count() == 0
+    labels = [(1, 1, 1), (2, 1, None), (None, 1, 1), (3, None, 0), (9, 0, 1)]
+    for some in (labels, [(i, q, 1) for i, q, _ in labels], []):  # classes mixed, one class, none
+        given = spark.createDataFrame(some, LABELS)
+        assert sorted((r.doc_id for r in toxicity_fst.toxic_documents(docs, given).collect()), key=repr) == [1, 1, 4, None]
+        assert toxicity_fst.toxic_documents(docs.limit(0), given).count() == 0
