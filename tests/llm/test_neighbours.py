@@ -15,6 +15,7 @@ def components(pairs):
 
     def root(x):
         while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
@@ -39,39 +40,95 @@ def texts(n=400, seed=3):
     return out
 
 
-@pytest.mark.parametrize("block", [16_384, 16])
-def test_simhash_against_brute_force(spark, block):
+def matching(f, g):
+    """Index pairs within the radius, by comparing all with all."""
+    out = []
+    for i in range(len(f)):
+        d = np.bitwise_count(f[:i] ^ f[i]).astype("i4") + np.bitwise_count(g[:i] ^ g[i])
+        out += [(i, int(j)) for j in np.nonzero(d <= simhash_vptree.RADIUS)[0]]
+    return out
+
+
+def test_simhash_against_brute_force(spark):
     docs = texts()
-    f, g, n = simhash_vptree.signatures(list(docs.values()))
-    bits = lambda a, b: int(np.bitwise_count(a ^ b))
-    want = [
-        (i, j) for i in docs for j in range(i)
-        if bits(f[i], f[j]) <= simhash_vptree.RADIUS and bits(f[i], f[j]) + bits(g[i], g[j]) <= simhash_vptree.CONFIRM and max(n[i], n[j]) <= min(n[i], n[j]) * simhash_vptree.FACTOR * (1 + 1e-9)
-    ]
+    want = matching(*simhash_vptree.signatures(list(docs.values())))
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     assert len(want) > 50
-    if block == 16_384:
-        assert {r.doc_id: r.duplicate_of for r in simhash_vptree.duplicates(df).collect()} == components(want)
-    reps = simhash_vptree.fingerprints(df).groupBy("f", "g", "n").agg(F.min("doc_id").alias("doc_id")).cache()
-    got = components((r.a, r.b) for r in simhash_vptree.edges(reps, block=block).collect())
-    same = {tuple(map(int, (a, b, c))): i for i, (a, b, c) in reversed(list(enumerate(zip(f, g, n))))}
-    keep = set(same.values())
-    assert {x: r for x, r in components(want).items() if x in keep} == {x: r for x, r in got.items() if x in keep}
+    assert {r.doc_id: r.duplicate_of for r in simhash_vptree.duplicates(df).collect()} == components(want)
+
+
+def test_simhash_whole_table(spark, sf_dir):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").collect() if r.text)
+    want = {rows[i][0]: rows[r][0] for i, r in components(matching(*simhash_vptree.signatures([t for _, t in rows]))).items()}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.duplicate_of for r in simhash_vptree.duplicates(df).collect()} == want and len(want) > 50
+
+
+def hashes():
+    """Fingerprints at all distances about the radius, some in one dense cluster."""
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 2**64, (1400, 2), dtype="u8")
+    h[:500] = h[0]
+    for i in range(1400):
+        src = h[0] if i < 500 else h[rng.integers(0, i)] if i > 900 else h[i]
+        flip = rng.choice(128, rng.integers(0, 14 if i < 500 else 30), replace=False) if i < 500 or i > 900 else []
+        h[i] = [src[0], src[1]]
+        for b in flip:
+            h[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    h = np.unique(h, axis=0)
+    return h[:, 0].copy(), h[:, 1].copy()
+
+
+@pytest.mark.parametrize("leaf_rows, part", [(None, 1 << 20), (100, 1 << 20), (100, 64)])
+def test_trees_of_many_leaves(spark, leaf_rows, part):
+    f, g = hashes()
+    reps = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(f.view("i8"), g.view("i8")))], "doc_id bigint, f bigint, g bigint")
+    got = [(r.a, r.b) for r in simhash_vptree.edges(reps, leaf_rows=leaf_rows, part=part).collect()]
+    want = matching(f, g)
+    assert {(min(p), max(p)) for p in got} <= {(min(p), max(p)) for p in want}
+    assert components(got) == components(want) and len(want) > 1000
+    if leaf_rows == 100:
+        v, n = np.unique(simhash_vptree.block(f, g, 0), return_counts=True)
+        assert simhash_vptree.plant(v, n, 2, leaf_rows).leaves >= 8
+
+
+@pytest.mark.parametrize("dense", [0, 100, simhash_vptree.DENSE])
+def test_clusters_are_skipped_over_without_loss(dense):
+    f, g = hashes()
+    near, blocks = simhash_vptree.masks(2), range(simhash_vptree.BLOCKS)
+    want = components(matching(f, g))
+    a, b = np.arange(0, len(f), 2), np.arange(1, len(f), 2)
+    found, across = [], []
+    for v in (simhash_vptree.block(f, g, k) for k in blocks):
+        x, y = simhash_vptree.close_pairs(v, f, g, v, f, g, True, simhash_vptree.RADIUS, near, dense)
+        found += zip(np.where(x < 0, -1 - x, x).tolist(), np.where(y < 0, -1 - y, y).tolist())
+        x, y = simhash_vptree.close_pairs(v[a], f[a], g[a], v[b], f[b], g[b], False, simhash_vptree.RADIUS, near, dense)
+        across += [(int(a[i] if i >= 0 else b[-1 - i]), int(a[j] if j >= 0 else b[-1 - j])) for i, j in zip(x, y)]
+    assert components(found) == want
+    both = [(i, j) for i, j in matching(f, g) if i % 2 != j % 2]
+    assert components(across) == components([*across, *both])
+
+
+def test_trees_prune_more_as_the_table_grows():
+    shares = []
+    for leaves in (4, 16, 64):
+        t = simhash_vptree.plant(np.arange(simhash_vptree.VALUES), np.full(simhash_vptree.VALUES, 4), 2, simhash_vptree.VALUES * 4 // leaves)
+        assert t.leaves >= leaves and t.homes.sum() == 4 * simhash_vptree.VALUES
+        shares.append((t.homes * (t.homes + t.guests)).sum() / t.homes.sum() ** 2)
+    assert shares[0] < 0.5 and shares[1] < 0.7 * shares[0] and shares[2] < 0.7 * shares[1]
 
 
 def test_tree_finds_every_pair():
     rng = np.random.default_rng(5)
-    f = rng.integers(0, 2**63, 600, dtype="u8")
-    f[300:] = f[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype("u8"))
-    ln = np.log(rng.integers(10, 400, 600).astype("f8"))
-    tree = simhash_vptree.plant(f, ln, 600, 10, 38.0, leaf_rows=20)
-    row, leaf, own = tree.visit(f, ln)
+    v = rng.integers(0, simhash_vptree.VALUES, 600).astype("u4")
+    v[300:] = v[:300] ^ (1 << rng.integers(0, 16, 300)).astype("u4") ^ (1 << rng.integers(0, 16, 300)).astype("u4")
+    tree = simhash_vptree.plant(*np.unique(v, return_counts=True), 2, leaf_rows=20)
+    row, leaf, own = tree.visit(v)
     home = dict(zip(row[own].tolist(), leaf[own].tolist()))
     visits = set(zip(row.tolist(), leaf.tolist()))
-    assert len(home) == 600 and tree.leaves >= 1
+    assert len(home) == 600 and tree.leaves >= 20
     for i in range(600):
-        d = simhash_vptree.distance(f, ln, f[i], ln[i], 38.0)
-        for j in np.nonzero(d <= 10)[0].tolist():
+        for j in np.nonzero(np.bitwise_count(v ^ v[i]) <= 2)[0].tolist():
             assert (i, home[j]) in visits or (j, home[i]) in visits
 
 

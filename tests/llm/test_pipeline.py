@@ -27,7 +27,7 @@ def plain(spark, sf_dir):
         gone = cuts.get(d["doc_id"], ())
         d["text"] = "\n".join(x for i, x in enumerate(d["text"].split("\n")) if i not in gone)
     some = [d for d in docs if d["text"]]
-    f, g, n = simhash_vptree.signatures([d["text"] for d in some])
+    f, g = simhash_vptree.signatures([d["text"] for d in some])
     root = list(range(len(some)))
 
     def find(x):
@@ -36,9 +36,7 @@ def plain(spark, sf_dir):
         return x
 
     for i in range(len(some)):
-        near = np.bitwise_count(f[:i] ^ f[i])
-        ok = (near <= simhash_vptree.RADIUS) & (near.astype(int) + np.bitwise_count(g[:i] ^ g[i]) <= simhash_vptree.CONFIRM)
-        ok &= np.maximum(n[:i], n[i]) <= np.minimum(n[:i], n[i]) * simhash_vptree.FACTOR * (1 + 1e-9)
+        ok = np.bitwise_count(f[:i] ^ f[i]).astype(int) + np.bitwise_count(g[:i] ^ g[i]) <= simhash_vptree.RADIUS
         for j in np.nonzero(ok)[0]:
             a, b = find(i), find(int(j))
             root[max(a, b)] = min(a, b)
