@@ -4,6 +4,9 @@ For each participant of a conversation the whole dialogue is rendered with that
 speaker as the assistant and everyone else as a named user.  ``mask`` has one
 digit a character of ``rendered``: 1 where the assistant speaks (the text and
 its end marker), 0 elsewhere, run-length coded as ``digit x length`` pieces.
+
+What is said can't forge a marker: ``<|`` in a text is written ``<||``, and each
+``|`` in a name is doubled, which a reader turns back.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ def rotate(turns: DataFrame) -> DataFrame:
     participant ``unknown``, as is an empty one; a null text is an empty one,
     and its turn stays.  A repeated row is said twice.  Role ``system`` is the
     frame of the dialogue: it is rendered as ``<|system|>`` for everyone and
-    is a participant only where nobody else speaks.  Other columns are ignored.
+    is a participant only where nobody else speaks.  Texts are rendered whole,
+    however long.  Other columns are ignored; an empty table gives an empty result.
 
     One shuffle, on the conversation; all rendering is by built-in functions.
     """
@@ -47,9 +51,9 @@ def rotate(turns: DataFrame) -> DataFrame:
     head = lambda x: (
         F.when(own(x), F.lit("<|assistant|>\n"))
         .when(x["role"] == "system", F.lit("<|system|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), x["role"], F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), F.replace(x["role"], F.lit("|"), F.lit("||")), F.lit("|>\n")))
     )
-    said = lambda x: F.concat(x["text"], F.lit(END))
+    said = lambda x: F.concat(F.replace(x["text"], F.lit("<|"), F.lit("<||")), F.lit(END))
     return each.select(
         "conv_id",
         "speaker",
@@ -82,8 +86,8 @@ WITH t AS (
   SELECT p.conv_id, p.speaker, t.turn, t.role, t.text, t.role = p.speaker AS own,
          CASE WHEN t.role = p.speaker THEN '<|assistant|>' || chr(10)
               WHEN t.role = 'system' THEN '<|system|>' || chr(10)
-              ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head,
-         t.text || '<|end|>' || chr(10) AS said
+              ELSE '<|user name=' || replace(t.role, '|', '||') || '|>' || chr(10) END AS head,
+         replace(t.text, '<|', '<||') || '<|end|>' || chr(10) AS said
   FROM p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id
 )
 SELECT conv_id, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own,

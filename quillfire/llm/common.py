@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillfire.sources.scratch import discard, settle
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TOKENIZERS = "/opt/tokenizers"
 
@@ -34,29 +35,6 @@ def project(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"].alias(a) for a, c in columns.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share.
-
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is
-    unset (tests) is a folder under the warehouse used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillfire"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage and keeps a result that is used twice from being computed
-    twice; a lost executor loses nothing of it.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` has about ``most`` bytes in each.
 
@@ -112,7 +90,7 @@ def distinct_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFra
 
     Alternates large-star and small-star steps, each one shuffle of the edges,
     until nothing changes; the number of rounds grows with the logarithm of the
-    longest path.  Every round is written to the shared folder.  Nodes without
+    longest path.  Every round is written to the shared folder, in place of the last.  Nodes without
     an edge are absent.  Null ends and self-loops are ignored; repeated edges
     count once; an empty input gives an empty result.
     """
@@ -124,13 +102,14 @@ def distinct_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFra
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select("v", "m").where("v != m").distinct()
         # small star: every node's smaller neighbours, and itself, hang on the least of them
-        low = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low, before = large.select(F.col("v").alias("u"), F.col("m").alias("v")), cur
         least = low.groupBy("u").agg(F.min("v").alias("m"))
         cur = settle(
             low.join(least, "u").select(F.col("v").alias("x"), "m").where("x != m")
             .unionAll(least.select(F.col("u").alias("x"), "m"))
             .select(F.col("m").alias("u"), F.col("x").alias("v")).distinct()
         )
+        discard(before)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return cur.select(F.col("v").alias("node"), F.col("u").alias("root"))

@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillfire.llm.common import settle
 
 UNIT = 1_000_000
 SEED = "quillfire"
-#: ``doc_id`` s of one block; blocks are what prefix sums are taken over first
-BLOCK_IDS = 8192
 
 
 def copies(
@@ -26,7 +27,7 @@ def copies(
     weights: dict[str, int] | None = None,
     seed: str = SEED,
     carry: bool = False,
-    block_ids: int = BLOCK_IDS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """``doc_id, source, copy_no``: a row for each copy that is emitted.
 
@@ -34,30 +35,41 @@ def copies(
     alike; a source that it doesn't name gets none.  With ``carry`` the result
     has the input's own columns instead, whatever they are called.
 
-    A null source is a source of its own (which no weight can name); a null
-    ``doc_id`` comes first; repeated rows follow each other and each has its own
-    share.  A null text has size 0 but a share like any other document's; a
-    source without a single character emits nothing.  An empty table gives an
+    Ids are of any type that can be ordered.  A null source is a source of its own
+    (which no weight can name); a null ``doc_id`` comes first; rows of equal id
+    follow each other by a hash of the whole row, each with its own share.  A null
+    text has size 0 but a share like any other document's, as has a very long one;
+    a source without a single character emits nothing.  An empty table gives an
     empty result.
 
-    The sums are taken in two steps, so that a hot source is no single task:
-    documents fall into blocks of ``block_ids`` consecutive ids; sums per source
-    and block are few, and the running sum within a block is a window over
-    (source, block).  One shuffle of the rows (ids alone without ``carry``).
+    Rows are ranged by source, id and hash over ``pieces`` tasks (the session's
+    shuffle partitions) and numbered within each; sums of a source's earlier
+    pieces, one row for each source and piece that meet, make that a rank.  So
+    neither a hot source nor a hot id is a single task, and the rows (ids alone
+    without ``carry``) are shuffled once.
     """
     if any(w < 0 for w in (weights or {}).values()):
         raise ValueError("weights are not negative")
-    names = docs.columns
+    spark, names = docs.sparkSession, docs.columns
     row = F.struct(*[docs[f"`{c}`"].alias(f"f{i}") for i, c in enumerate(names)]) if carry else F.lit(None).cast("int")
+    told = [docs[f"`{f.name}`"] for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.NullType))] if carry else [docs["doc_id"]]
     rows = docs.select(
         row.alias("_row"),
         docs["doc_id"].alias("_id"),
         docs["source"].alias("_src"),
         F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit("")).alias("_key"),
-        F.coalesce(F.floor(docs["doc_id"] / F.lit(float(block_ids))).cast("bigint"), F.lit(-(2**62))).alias("_block"),
         F.coalesce(F.length(docs["text"]), F.lit(0)).cast("bigint").alias("_size"),
+        F.xxhash64(*told).alias("_tie"),
+    )
+    order = [F.col("_key"), F.col("_id").asc_nulls_first(), F.col("_tie")]
+    # equal rows are told apart by their place, so that not even they must share a task
+    ranged = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(
+        pieces or int(spark.conf.get("spark.sql.shuffle.partitions")), *order, "_place"
     )
-    sums = rows.groupBy("_key", "_block").agg(F.count("*").alias("_n"), F.sum("_size").alias("_size"))
+    numbered = settle(ranged.sortWithinPartitions(*order).drop("_tie", "_place").withColumn("_at", F.monotonically_increasing_id()))
+    piece = F.shiftright("_at", 33)  # the task's number is in the upper bits, the row's in the lower
+    sums = numbered.groupBy("_key", piece.alias("_piece")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), F.sum("_size").alias("_size"))
+    sums = settle(sums)
     per = sums.groupBy("_key").agg(F.sum("_size").cast("decimal(38,0)").alias("_chars"))
     if weights is None:
         weight = F.lit(1)
@@ -73,11 +85,10 @@ def copies(
         F.expr(f"cast(cast(_all as decimal(26,0)) * {UNIT} * _w div (_ws * _chars) as bigint)").alias("_rate"),
         F.expr(f"cast(conv(substr(md5(concat('{seed}:', substr(_key, 2))), 1, 8), 16, 10) as bigint) % {UNIT}").alias("_off"),
     )
-    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n", "_size").join(rates, "_key")
-    rank = F.row_number().over(Window.partitionBy("_key", "_block").orderBy(F.col("_id").asc_nulls_first()))
-    ranked = rows.drop("_size").withColumn("_k", rank).join(starts, ["_key", "_block"])
-    upto = F.col("_off") + F.col("_rate") * (F.col("_before") + F.col("_k"))
+    ranked = numbered.drop("_size").withColumn("_piece", piece).join(starts, ["_key", "_piece"])
+    upto = F.col("_off") + F.col("_rate") * (F.col("_before") + F.col("_at") - F.col("_first") + 1)
     crossed = F.expr(f"_upto div {UNIT}") - F.expr(f"(_upto - _rate) div {UNIT}")
     out = ranked.withColumn("_upto", upto).withColumn("_copies", crossed).where("_copies > 0")
     out = out.withColumn("_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
