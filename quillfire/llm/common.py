@@ -136,8 +136,9 @@ def forest(a, b):
     return out, root
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int]) -> list[dict]:
-    """At most ``bounds[k]`` labelled documents of each class k, to fit a model on.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int]) -> DataFrame:
+    """At most ``bounds[k]`` labelled documents of each class k, to fit a model on:
+    ``doc_id, _y, text, lang, source, n_chars``.
 
     Which ones is decided by a hash of the id, so it is the same every time.
     Rows without id or label are left out; of several labels of an id the
@@ -150,11 +151,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict
     for k, n in bounds.items():
         part = given.where(F.col("_y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.unionAll(part)
-    rows = (
-        docs.select("doc_id", F.struct(*[F.col(c) for c in ("text", "lang", "source", "n_chars") if c in docs.columns]).alias("_d"))
+    return (
+        docs.select("doc_id", F.struct(*[docs[c] if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("text", "lang", "source", "n_chars")]).alias("_d"))
         .join(F.broadcast(picked), "doc_id")  # bounded by the parameter
         .groupBy("doc_id").agg(F.min("_d").alias("_d"), F.first("_y").alias("_y"))
         .select("doc_id", "_y", "_d.*")
-        .toArrow()
     )
-    return sorted(rows.to_pylist(), key=lambda r: r["doc_id"])
+
+
+def by_id(rows: DataFrame) -> list[dict]:
+    """A bounded result on the driver, in order of ``doc_id``."""
+    return sorted(rows.toArrow().to_pylist(), key=lambda r: r["doc_id"])

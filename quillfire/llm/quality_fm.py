@@ -18,10 +18,11 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfire.llm.common import labelled_sample
+from quillfire.llm.common import by_id, labelled_sample, slices
 
 RANK = 8
 WORDS = 1 << 15
@@ -98,8 +99,9 @@ def pack(docs):
 def fit(docs: list[tuple[list[int], list[float]]], y: np.ndarray, epochs: int = 6, rate: float = 0.1, keep: float = 0.998) -> Machine | None:
     """AdaGrad on the logistic loss, both classes weighed alike.
 
-    A fifth is held out: it gives the accuracy, and the cut, which is lowered
-    from even odds until ``keep`` of the held-out good documents pass.  None
+    A fifth is held out.  Its even half sets the cut, which is lowered from even
+    odds until ``keep`` of the good documents there pass; the odd half, which has
+    set nothing, gives the accuracy.  None
     where a class is missing.
     """
     y = np.asarray(y, "f4")
@@ -134,9 +136,9 @@ def fit(docs: list[tuple[list[int], list[float]]], y: np.ndarray, epochs: int =
             m.factor[u] -= 0.5 * rate * dv / np.sqrt(gv[u])
             m.bias -= rate * float(err.sum()) / math.sqrt(gb)
     z = m.logits([docs[i] for i in held])
-    good = z[y[held] > 0]
+    good = z[::2][y[held[::2]] > 0]
     m.cut = min(0.0, float(np.quantile(good, 1 - keep)) - 0.25) if len(good) else 0.0
-    m.accuracy = float(((z >= m.cut) == (y[held] > 0)).mean())
+    m.accuracy = float(((z[1::2] >= m.cut) == (y[held[1::2]] > 0)).mean()) if len(held) > 1 else math.nan
     return m
 
 
@@ -144,7 +146,18 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Fit on at most ``max_labelled`` labelled documents, half of them for each
     class where there are as many; chosen by a hash of their id."""
     rows = labelled_sample(docs, labels, "quality", {0: max_labelled // 2, 1: max_labelled // 2})
-    return fit([features(r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows], np.array([r["_y"] for r in rows]))
+
+    def extract(batches):
+        for batch in slices(batches, "text"):
+            cols = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
+            found = [features(*r) for r in zip(*cols)]
+            lists = [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), *lists], ["doc_id", "_y", "idx", "val"])
+
+    # features are made where the texts are; what travels is the distinct words' numbers
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    seen = by_id(rows.mapInArrow(extract, f"doc_id {kind}, _y int, idx array<int>, val array<float>"))
+    return fit([(r["idx"], r["val"]) for r in seen], np.array([r["_y"] for r in seen]))
 
 
 def score_column(docs: DataFrame, model: Machine):
@@ -171,10 +184,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     """``doc_id, score, keep`` for every row; ``score`` is the log odds of good
     quality, ``keep`` whether it reaches the model's cut.
 
-    Null and empty texts are scored like any other, from their structure and
-    metadata; null metadata is a value of its own.  Repeated rows have equal
+    Null, empty and very long texts are scored whole like any other, from their
+    words, structure and metadata; null metadata is a value of its own.  Repeated rows have equal
     scores.  Where the labels lack a class nothing can be told: scores are null
-    and everything is kept.  Other columns are ignored.  Map-only after the fit.
+    and everything is kept.  Other columns are ignored; an empty
+    table gives an empty result.  Map-only after the fit.
     """
     model = train(docs, labels, max_labelled)
     if model is None:

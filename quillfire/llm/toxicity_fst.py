@@ -27,7 +27,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillfire.llm.common import labelled_sample, project, slices
+from quillfire.llm.common import by_id, labelled_sample, project, slices
 
 # ---- transducers -----------------------------------------------------------
 #: classes: Insult, Threat verb, target (Y), Determiner or copula, Negation, Reporting verb, E first person,
@@ -307,7 +307,7 @@ def learn_stems(rows: list[dict], lengths: range = range(3, 9), ratio: float = 1
         clean: Counter = Counter()
         toxic: list[dict[str, set[str]]] = []
         for r in group:
-            ws = set(re.findall(r"[^\W\d_]{3,}", (r["text"] or "").lower()))
+            ws = set(r["words"])
             if r["_y"]:
                 heads: dict[str, set[str]] = {}
                 for w in ws:
@@ -343,7 +343,17 @@ def learn_stems(rows: list[dict], lengths: range = range(3, 9), ratio: float = 1
 
 def stems_for(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> tuple[str, ...]:
     """Stems learnt from at most ``max_labelled`` labelled documents."""
-    return learn_stems(labelled_sample(docs, labels, "toxic", {1: max_labelled // 2, 0: max_labelled // 2}))
+    rows = labelled_sample(docs, labels, "toxic", {1: max_labelled // 2, 0: max_labelled // 2})
+
+    def extract(batches):
+        for batch in slices(batches, "text"):
+            found = [sorted(set(re.findall(r"[^\W\d_]{3,}", (t or "").lower()))) for t in batch.column("text").to_pylist()]
+            cols = [*[batch.column(c) for c in ("doc_id", "_y", "lang")], pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_y", "lang", "words"])
+
+    # distinct words are taken where the texts are
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return learn_stems(by_id(rows.mapInArrow(extract, f"doc_id {kind}, _y int, lang string, words array<string>")))
 
 
 def toxic_documents(
