@@ -7,8 +7,8 @@ a = <x', Px> (Gao and Long 2024).  For a unit vector y with cosine c to x,
     <x', Py> = a c + sqrt(1 - a^2) sqrt(1 - c^2) t
 
 with t, the part along a direction that the rotation makes random, of mean 0
-and variance 1 / (dim - 1); so <x', Py> / a estimates c without bias.  Py is
-itself sent in 4 bits, rounded up or down at random so that this adds no bias
+and variance 1 / (dim - 1); so <x', Py> / a estimates c without bias.  y is
+itself sent in 8 bits, rounded up or down at random so that this adds no bias
 either.  The two variances bound c for a given confidence: a pair whose lower
 bound reaches the threshold is one, a pair whose upper bound doesn't is none,
 and only for pairs between them are the embeddings fetched and compared.
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillfire.llm.common import distinct_components, forest, project, settle, spread
 
@@ -35,7 +36,7 @@ RECALL = 0.98  # of pairs exactly at the threshold; closer ones have more
 SIGMAS = 4.5
 BUCKET = 256  # vectors that share a band's bits by chance
 BLOCK = 2048
-LEVELS = 15
+LEVELS = 255
 
 
 def orthonormal(rows: int, dim: int, seed: int) -> np.ndarray:
@@ -48,10 +49,11 @@ def orthonormal(rows: int, dim: int, seed: int) -> np.ndarray:
 
 
 @lru_cache(8)
-def rotations(dim: int, out: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For codes (``out`` x ``dim``), and independently for the bands' bits."""
+def rotations(dim: int, out: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For codes (``out`` x ``dim``), for the vectors sent (``dim`` x ``dim``), and
+    independently for the bands' bits."""
     parts = [orthonormal(dim, dim, 100 + k)[: bits - k * dim] for k in range(-(-bits // dim))]
-    return orthonormal(out, dim, 1), np.concatenate(parts) if parts else np.zeros((0, dim), "f4")
+    return orthonormal(out, dim, 1), orthonormal(dim, dim, 2), np.concatenate(parts) if parts else np.zeros((0, dim), "f4")
 
 
 def code_bits(dim: int) -> int:
@@ -68,37 +70,36 @@ def bands(total: int, threshold: float, recall: float = RECALL, bucket: int = BU
 
 
 def encode(x: np.ndarray, out: int, bits: int, count: int, seed: int = 11):
-    """Codes, factors, 4-bit rotated vectors with their range, and band keys of
+    """Codes, factors, rotated vectors in 8 bits with their range, and band keys of
     unit vectors (rows)."""
-    code_by, band_by = rotations(x.shape[1], out, bits * count)
+    code_by, send_by, band_by = rotations(x.shape[1], out, bits * count)
     y = x @ code_by.T
-    signs = y > 0
     factor = np.abs(y).sum(1) / math.sqrt(out)
-    low, high = y.min(1), y.max(1)
+    z = x @ send_by.T
+    low, high = z.min(1), z.max(1)
     step = np.maximum(high - low, 1e-9) / LEVELS
     # the dice depend on the vector alone, so a repeated run gives the same
-    dice = np.random.default_rng([seed, out]).random(out, dtype="f4")
-    level = np.clip(np.floor((y - low[:, None]) / step[:, None] + np.mod(dice + 37.7 * np.abs(y[:, :1]), 1)), 0, LEVELS).astype("u1")
-    packed = level[:, ::2] | level[:, 1::2] << 4
+    dice = np.random.default_rng([seed, out]).random(z.shape[1], dtype="f4")
+    level = np.clip(np.floor((z - low[:, None]) / step[:, None] + np.mod(dice + 37.7 * np.abs(z[:, :1]), 1)), 0, LEVELS).astype("u1")
     agree = (x @ band_by.T > 0).reshape(len(x), count, bits)
     keys = (agree @ (1 << np.arange(bits, dtype="i8"))).astype("i8")
-    return np.packbits(signs, axis=1), factor.astype("f4"), packed, low.astype("f4"), step.astype("f4"), keys
+    return np.packbits(y > 0, axis=1), factor.astype("f4"), level, low.astype("f4"), step.astype("f4"), keys
 
 
-def bounds(query, low, step, code, factor, sigmas: float = SIGMAS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(estimate, lower, upper bound) of the cosine of each query (row) with each
-    coded vector (column)."""
-    dim = 8 * code.shape[1]
-    level = np.empty((len(query), dim), "f4")
-    level[:, ::2], level[:, 1::2] = query & 15, query >> 4
-    y = low[:, None] + step[:, None] * level
+def bounds(level, low, step, code, factor, sigmas: float = SIGMAS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimate, lower, upper bound) of the cosine of each vector sent (row) with
+    each coded vector (column)."""
+    dim, out = level.shape[1], 8 * code.shape[1]
+    code_by, send_by, _ = rotations(dim, out, 0)
     signs = np.unpackbits(code, axis=1).astype("f4")
     signs *= 2
     signs -= 1
     a = np.clip(factor, 1e-3, 1)
-    est = (y @ signs.T) / (math.sqrt(dim) * a[None, :])
+    y = low[:, None] + step[:, None] * level.astype("f4")
+    # the code is brought to the few dimensions that the vector is sent in, not the vector to the code's
+    est = y @ (signs @ (code_by @ send_by.T)).T / (math.sqrt(out) * a[None, :])
     # (est - c)^2 <= k (1 - c^2) + m, solved for c
-    k = (sigmas**2 * (1 - a**2) / a**2 / (dim - 1))[None, :]
+    k = (sigmas**2 * (1 - a**2) / a**2 / (out - 1))[None, :]
     m = sigmas**2 * (step[:, None] / (2 * a[None, :])) ** 2
     root = np.maximum(k * (1 + k - est**2) + m * (1 + k), 0)
     odd = k * (1 + k - est**2) + m * (1 + k) < 0  # beyond what the confidence allows: to be recomputed
@@ -141,43 +142,41 @@ def edges(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
             for rows, x in unit_rows(batch.column("v")):
                 for k in range(0, len(rows), 1024):
                     some = rows[k : k + 1024]
-                    code, factor, query, low, step, keys = encode(x[k : k + 1024], code_bits(x.shape[1]), bits, count)
+                    code, factor, level, low, step, keys = encode(x[k : k + 1024], code_bits(x.shape[1]), bits, count)
                     n = len(some)
+                    body = np.concatenate([code, level, np.stack([factor, low, step], 1).view("u1")], axis=1)
                     cols = [
-                        batch.column("id").take(pa.array(some)), pa.array(np.full(n, x.shape[1], "i4")),
-                        pa.array(list(map(bytes, code)), pa.binary()), pa.array(factor),
-                        pa.array(list(map(bytes, query)), pa.binary()), pa.array(low), pa.array(step),
+                        batch.column("id").take(pa.array(some)), pa.array(np.full(n, x.shape[1], "i4")), pa.array(list(map(bytes, body)), pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, n * count + 1, count, dtype="i4")), pa.array(keys.ravel())),
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, ["id", "dim", "code", "factor", "query", "low", "step", "keys"])
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "dim", "body", "keys"])
 
-    coded = reps.mapInArrow(
-        digest, f"id {kind}, dim int, code binary, factor float, query binary, low float, step float, keys array<bigint>"
-    )
-    coded = settle(coded)
-    keyed = coded.select("id", "dim", F.posexplode("keys").alias("band", "bucket"))
-    sizes = keyed.groupBy("dim", "band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.select("dim", "band", "bucket", F.ceil(F.col("n") / block).alias("parts"))
-    body = [c for c in coded.columns if c not in ("keys", "dim")]
-    placed = coded.select("dim", *body, F.posexplode("keys").alias("band", "bucket")).join(sizes, ["dim", "band", "bucket"])
+    coded = settle(reps.mapInArrow(digest, f"id {kind}, dim int, body binary, keys array<bigint>"))
+    where = ["dim", "band", "bucket"]
+    hot = coded.select("dim", F.posexplode("keys").alias("band", "bucket")).groupBy(*where).agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = settle(hot.select(*where, F.ceil(F.col("n") / block).alias("parts")))
     # a bucket is compared in tasks of two parts each, so its size is no matter
-    tasks = placed.withColumn("at", F.pmod(F.xxhash64("id"), "parts")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
-    ).select("dim", "band", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", *body)
+    placed = coded.select("id", "dim", "body", F.posexplode("keys").alias("band", "bucket")).join(hot, where, "left")
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    tasks = placed.withColumn("at", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    tasks = tasks.select(*where, F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") <= F.col("other")).alias("first"), "id", "body")
 
     def compare(key, t):
-        i, j = key[3].as_py(), key[4].as_py()
-        at, ids = t.column("at").to_numpy(), t.column("id").to_numpy()
-        raw = {x: np.array([np.frombuffer(b, "u1") for b in t.column(x).to_pylist()]).reshape(len(ids), -1) for x in ("code", "query")}
-        num = {x: t.column(x).to_numpy() for x in ("factor", "low", "step")}
-        a = np.nonzero(at == i)[0]
-        b = a if i == j else np.nonzero(at == j)[0]
+        dim, same = key[0].as_py(), key[3].as_py() == key[4].as_py()
+        first, ids = t.column("first").to_numpy(), t.column("id").to_numpy()
+        if len(ids) == 1:
+            return none
+        raw = np.frombuffer(b"".join(t.column("body").to_pylist()), "u1").reshape(len(ids), -1)
+        ends = code_bits(dim) // 8
+        code, level, num = raw[:, :ends], raw[:, ends : ends + dim], np.ascontiguousarray(raw[:, ends + dim :]).view("f4")
+        a = np.nonzero(first)[0]
+        b = a if same else np.nonzero(~first)[0]
         sure, open_ = [], []
         for k in range(0, len(a), 512):
             q = a[k : k + 512]
-            _, lower, upper = bounds(raw["query"][q], num["low"][q], num["step"][q], raw["code"][b], num["factor"][b], sigmas)
+            _, lower, upper = bounds(level[q], num[q, 1], num[q, 2], code[b], num[b, 0], sigmas)
             x, y = np.nonzero(upper >= threshold)
-            if i == j:
+            if same:
                 x, y = x[x + k < y], y[x + k < y]
             yes = lower[x, y] >= threshold
             pair = np.stack([ids[q[x]], ids[b[y]]], 1)
@@ -187,16 +186,21 @@ def edges(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         # of undecided pairs, those that could join two groups
         rest = [(x, y) for x, y in open_.tolist() if root(x) != root(y)]
         both = [(x, y, True) for x, y in found] + [(x, y, False) for x, y in rest]
-        t_id = t.schema.field("id").type
-        return pa.table({"a": pa.array([e[0] for e in both], t_id), "b": pa.array([e[1] for e in both], t_id), "sure": pa.array([e[2] for e in both], pa.bool_())})
+        return pa.table([pa.array([e[c] for e in both], f.type) for c, f in enumerate(schema)], schema=schema)
 
-    keys = ("dim", "band", "bucket", "i", "j")
+    id_type = to_arrow_type(reps.schema["id"].dataType)
+    schema = pa.schema([("a", id_type), ("b", id_type), ("sure", pa.bool_())])
+    none = schema.empty_table()
+    keys = (*where, "i", "j")
     met = spread(tasks, *keys).groupBy(*keys).applyInArrow(compare, f"a {kind}, b {kind}, sure boolean")
     met = settle(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    # only the embeddings of undecided pairs are fetched
+    ends = settle(met.where("not sure").select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    asked = reps.join(ends, "id", "left_semi")
     dot = lambda p, q: F.aggregate(
         F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, e: s + e
     )
-    left, right = (reps.select(F.col("id").alias(k), F.col("v").alias(f"v{k}")) for k in "ab")
+    left, right = (asked.select(F.col("id").alias(k), F.col("v").alias(f"v{k}")) for k in "ab")
     exact = met.where("not sure").join(left, "a").join(right, "b")
     exact = exact.where(dot("va", "vb") >= threshold * F.sqrt(dot("va", "va") * dot("vb", "vb")))
     return met.where("sure").select("a", "b").unionAll(exact.select("a", "b"))
@@ -216,13 +220,14 @@ def duplicates(
     and no copies of each other.  Other columns are ignored; an empty table gives
     an empty result.
 
-    Every vector is a query.  Equal vectors collapse first, which with the way
-    back are two shuffles of the embeddings; then a code and a 4-bit vector are
-    shuffled for each band, and the embeddings of undecided pairs.
+    Every vector is a query.  Equal vectors collapse first, in one shuffle of the
+    embeddings; then a code and the vector in 8 bits are shuffled once for each
+    band, and the embeddings of undecided pairs.
     """
-    usable = settle(_vectors(table, id_col, vec_col))
-    kept = settle(usable.groupBy("v").agg(F.min("id").alias("id")))
-    roots = distinct_components(edges(kept, threshold, recall, sigmas))
-    named = kept.join(roots, F.col("id") == F.col("node"), "left").select("v", F.coalesce("root", "id").alias("duplicate_of"))
-    out = usable.join(named, "v").select(F.col("id").alias("vec_id"), "duplicate_of").where("vec_id != duplicate_of")
+    usable = _vectors(table, id_col, vec_col).select("id", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"))
+    # equal ones have equal hashes; vectors that differ don't share 128 bits
+    kept = settle(usable.groupBy("h", "g").agg(F.min(F.struct("id", "v")).alias("k")).select("h", "g", "k.id", "k.v"))
+    roots = distinct_components(edges(kept.select("id", "v"), threshold, recall, sigmas))
+    named = kept.join(roots, F.col("id") == F.col("node"), "left").select("h", "g", F.coalesce("root", "id").alias("duplicate_of"))
+    out = usable.join(named, ["h", "g"]).select(F.col("id").alias("vec_id"), "duplicate_of").where("vec_id != duplicate_of")
     return out.groupBy("vec_id").agg(F.min("duplicate_of").alias("duplicate_of"))
