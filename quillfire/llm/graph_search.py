@@ -215,11 +215,12 @@ def answer(ids: list[list], nodes: np.ndarray, sim: np.ndarray, k: int, last: bo
 
 
 def neighbours(
-    table: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK, beam: int = BEAM,
+    table: DataFrame, asking: DataFrame | None = None, k: int = K, shard: int = SHARD, block: int = BLOCK, beam: int = BEAM,
     id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
-    """``vec_id, neighbour, rank, similarity``: for every vector the ``k`` found
-    with the greatest cosine, rank 1 first; among equals the lesser id first.
+    """``vec_id, neighbour, rank, similarity``: for every vector of ``asking`` (of
+    the table, if that isn't given) the ``k`` of the table found with the greatest
+    cosine, rank 1 first; among equals the lesser id first.
 
     Rows without an id or an embedding, with an empty one, with nulls or numbers
     that aren't finite in it, or of length 0, neither ask nor answer; vectors of
@@ -229,22 +230,28 @@ def neighbours(
     whole shard.  Other columns are ignored; an empty table gives an empty result.
 
     Equal vectors are one node, however many rows have them, and each of the rows
-    gets the answer.  A shard's graph is built once and stored; each task takes
-    one graph and one block of queries, so memory is bounded by ``shard`` and
-    ``block``.  As every shard is asked, work is (rows) x (shards): raise
-    ``shard`` with the executors' memory.
+    gets the answer.  A shard's graph is built once and stored, shards being dealt
+    to tasks by number; each task of the search takes one graph and one block of
+    queries, so memory is bounded by ``shard`` and ``block``.  As every shard is
+    asked, the search's work is (queries) x (shards): raise ``shard`` with the
+    executors' memory.
     """
-    rows = settle(_vectors(table, id_col, vec_col).distinct())
+    rows = _vectors(table, id_col, vec_col).distinct()
+    rows = settle(rows) if asking is None else rows
     # equal vectors: one node with its k + 1 least ids, which are all that an answer can need
     least = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     nodes = rows.withColumn("_r", least).where(f"_r <= {k + 1}").groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     nodes = settle(nodes.select("v", "ids", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("node")))
     sizes = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # few dimensions
+    asks = rows if asking is None else settle(_vectors(asking, id_col, vec_col).distinct())
     if not sizes:
-        return rows.select(F.col("id").alias("vec_id"), F.col("id").alias("neighbour"), F.lit(0).alias("rank"), F.lit(0.0).alias("similarity"))
-    parts = lambda unit: F.coalesce(*[F.when(F.col("dim") == d, -(-n // unit)) for d, n in sizes.items()])
+        return asks.select(F.col("id").alias("vec_id"), F.col("id").alias("neighbour"), F.lit(0).alias("rank"), F.lit(0.0).alias("similarity")).where("false")
     kind = rows.schema["id"].dataType.simpleString()
-    placed = nodes.select("dim", "v", "ids", F.pmod(F.xxhash64("v"), parts(shard)).cast("int").alias("shard"))
+    shards, first = {d: -(-n // shard) for d, n in sizes.items()}, {}
+    for d in sorted(shards):
+        first[d] = sum(shards[x] for x in first)
+    by_dim = lambda of: F.coalesce(*[F.when(F.col("dim") == d, n) for d, n in of.items()])
+    placed = nodes.select("v", "ids", (by_dim(first) + F.pmod(F.xxhash64("v"), by_dim(shards))).cast("int").alias("shard"))
 
     def make(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -252,16 +259,26 @@ def neighbours(
         g = build(x)
         flat = lambda a, to: pa.array([a.tobytes()], to)
         return pa.table({
-            "dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "size": pa.array([len(x)], pa.int32()), "entries": flat(g.entries, pa.binary()),
+            "shard": t.column("shard")[:1], "size": pa.array([len(x)], pa.int32()), "entries": flat(g.entries, pa.binary()),
             "x": flat(g.x, pa.binary()), "edges": flat(g.edges, pa.binary()),
             "ids": pa.array([t.column("ids").to_pylist()], pa.list_(t.schema.field("ids").type)),
         })
 
-    made = "dim int, shard int, size int, entries binary, x binary, edges binary"
-    graphs = settle(spread(placed, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, f"{made}, ids array<array<{kind}>>"))
-    blocks = nodes.select("dim", "v", "node", F.pmod(F.xxhash64("v", F.lit(1)), parts(block)).cast("int").alias("block"))
-    asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), parts(shard).cast("int") - 1)))
-    takers = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), parts(block).cast("int") - 1)))
+    made = "shard int, size int, entries binary, x binary, edges binary"
+    dealt = placed.repartitionById(sum(shards.values()), "shard")
+    graphs = settle(dealt.groupBy("shard").applyInArrow(make, f"{made}, ids array<array<{kind}>>"))
+    if asking is None:
+        queries, count = nodes.select("v", "node", "dim"), sum(sizes.values())
+    else:
+        queries = asks.select("v").distinct().select("v", F.monotonically_increasing_id().alias("node"), F.size("v").alias("dim"))
+        queries = settle(queries.where(F.col("dim").isin(list(sizes))))
+        count = queries.count()
+    blocks = max(1, -(-count // block))
+    last = {d: first[d] + shards[d] - 1 for d in first}
+    asked = queries.select(
+        "v", "node", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(by_dim(first), by_dim(last)).cast("array<int>")).alias("shard")
+    )
+    takers = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def ask(graph: pa.Table, queries: pa.Table) -> pa.Table:
         id_type = graph.schema.field("ids").type.value_type.value_type
@@ -282,10 +299,10 @@ def neighbours(
                 found.append(hits)
         return pa.table([queries.column("node"), pa.array(found, schema.field("found").type)], schema=schema)
 
-    keys = ("dim", "shard", "block")
+    keys = ("shard", "block")
     answers = spread(takers, *keys).groupBy(*keys).cogroup(spread(asked, *keys).groupBy(*keys)).applyInArrow(ask, f"node bigint, found array<struct<d:double,id:{kind}>>")
     merged = answers.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
-    each = rows.join(nodes.select("v", "node"), "v").select("id", "node").join(merged, "node")
+    each = asks.join(queries.select("v", "node"), "v").select("id", "node").join(merged, "node")
     best = F.slice(F.filter(F.array_distinct(F.transform("found", lambda x: x["id"])), lambda x: x != F.col("id")), 1, k)
     each = each.select("id", "found", F.posexplode(best).alias("at", "neighbour"))
     near = F.filter("found", lambda x: x["id"] == F.col("neighbour"))[0]["d"]

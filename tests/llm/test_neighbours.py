@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillfire.llm import graph_search, rotated_codes, simhash_vptree
+from quillfire.llm import graph_search, registry, rotated_codes, simhash_vptree
 from quillfire.llm.common import distinct_components
 
 
@@ -200,6 +200,21 @@ def test_bounds_and_bias():
     assert (high >= 0.95)[off].mean() < 0.05  # most pairs are decided without their embeddings
 
 
+def test_codes_whole_table(spark, sf_dir):
+    """All rows of the given table, at a threshold that has pairs there."""
+    d = sf_dir.replace("sf0.001", "sf0.1")
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect())
+    u = unit(np.array([v for _, v in rows], "f8"))
+    for threshold in (0.45, 0.95):
+        i, j = np.nonzero(np.triu(u @ u.T >= threshold, 1))
+        want = set(zip(i.tolist(), j.tolist()))
+        df = spark.createDataFrame([(k, v) for k, (_, v) in enumerate(rows)], "id bigint, v array<float>")
+        got = {(min(r.a, r.b), max(r.a, r.b)) for r in rotated_codes.edges(df, threshold).collect()}
+        ours, all_ = components(got), components(want)
+        assert got <= want and len(set(ours) & set(all_)) >= 0.95 * len(all_)
+        assert threshold > 0.9 or len(want) > 20
+
+
 ODD = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [float("inf"), 0.0]), (10, [-1.0, 0.0])]
 
 
@@ -227,6 +242,35 @@ def test_graph_recall(spark, shard):
     assert hits >= 0.95 * 10 * len(x)
 
 
+def test_graph_whole_table(spark, sf_dir):
+    """The registered query: recall over all its rows, against brute force."""
+    d = sf_dir.replace("sf0.001", "sf0.1")
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").collect()
+    u = unit(np.array([r.embedding for r in rows], "f8"))
+    at = {r.vec_id: i for i, r in enumerate(rows)}
+    got = {}
+    for r in registry.op8_graph_search(spark, d).collect():
+        got.setdefault(r.vec_id, {})[r["rank"]] = r.neighbour
+    hits = 0
+    for i in got:
+        row = u @ u[at[i]]
+        row[at[i]] = -2
+        assert sorted(got[i]) == list(range(1, 11))
+        hits += sum(row[at[n]] >= np.sort(row)[-10] - 1e-6 for n in got[i].values())
+    assert set(got) == {r.vec_id for r in rows if r.vec_id % 100 == 0} and hits >= 0.95 * 10 * len(got)
+
+
+def test_graph_asked_from_outside(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)).astype("f4")
+    asking = spark.createDataFrame([(-1, x[5].tolist()), (5, x[5].tolist()), (5, x[5].tolist()), (-2, [1.0]), (-3, None)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in graph_search.neighbours(frame(spark, x), asking, k=3).collect():
+        got.setdefault(r.vec_id, []).append((r["rank"], r.neighbour))
+    order = [int(i) for i in np.argsort(-(unit(x) @ unit(x)[5]))]
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {-1: order[:3], 5: order[1:4]}
+
+
 @pytest.mark.parametrize("share", [0.05, 0.2, 0.5])
 def test_graph_recall_beside_near_copies(share):
     rng = np.random.default_rng(4)
