@@ -1,73 +1,31 @@
 """Line dedup by content-defined chunks of lines.
 
-Each line is hashed, and a rolling hash is taken over every two adjacent lines.
-Modulo ``LEVELS`` it names the level at which the two are an anchor.  At each
-level a chunk ends before and after every anchor, and an anchor isn't split
-unless an adjacent anchor of lower hash overlaps it.  So boundaries follow the
-content: a passage put into another document is cut there as it is at home,
-whatever stands around it, and a passage whose edges fall within a chunk at one
-level is cut out at another.  Chunks of at least two lines that occur again
-anywhere in the corpus are removed, after their bytes were compared, all but the
-first occurrence.
-
-Anchors that overlap suppress one another, so short passages are missed and the
-edges of others depend on their neighbours.  With ``every_pair`` each two adjacent
-lines are a chunk of their own instead.  A longer chunk that occurs again consists
-of pairs that do, so that removes whatever the levels would, and every repeated
-passage of two lines or more whole.
+A rolling hash over every two adjacent lines chooses the boundaries: where it
+names the two an anchor, a chunk begins before and ends after them, so boundaries
+follow the content and a passage is cut in any document as it is at home.
+Sparse anchors, one pair in four, missed a third of all passages of two lines and
+left edges of half of the longer ones, as the lines around a passage have a say in
+where it is cut.  So anchors are dense here: every two adjacent lines are a chunk,
+and longer chunks needn't be looked up, as one that occurs again consists of pairs
+that do.  Chunks that occur again anywhere in the corpus are removed, after their
+bytes were compared, all but the first occurrence.
 """
 
 from __future__ import annotations
 
-from hashlib import md5
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillfire.llm import simhash_vptree
 from quillfire.llm.common import settle, slices
 
-LEVELS = 4
-BASE, PRIME = 31, 1_000_003
-
-
-def boundaries(h: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(first lines, lines after) of the chunks of two lines at least, by level.
 
-    ``h`` are the line hashes of several documents end to end; ``ends`` tells
-    which lines are the last of their document.
-    """
-    n = len(h)
-    pair = (BASE * h[:-1] + h[1:]) % PRIME
-    valid = ~ends[:-1]
-    out = []
-    for level in range(LEVELS):
-        hit = valid & (pair % LEVELS == level)
-        atom = hit.copy()
-        atom[1:] &= ~(hit[:-1] & (pair[:-1] <= pair[1:]))
-        atom[:-1] &= ~(hit[1:] & (pair[1:] < pair[:-1]))
-        cut = np.zeros(n + 1, bool)  # cut[g]: a chunk begins at line g
-        cut[2:n] |= hit[:-1]  # after an anchor
-        cut[:-2] |= hit  # before an anchor
-        cut[1:n] &= ~atom
-        cut[1:][ends] = True
-        cut[0] = cut[n] = True
-        at = np.nonzero(cut)[0]
-        wide = np.diff(at) > 1
-        out.append((at[:-1][wide], at[1:][wide]))
-    return out
-
-
-def chunks(lines: list[str], every_pair: bool = True) -> list[tuple[int, int]]:
-    """(start, end) of the chunks of one document, each once."""
-    if every_pair:
-        return [(k, k + 2) for k in range(len(lines) - 1)]
-    h = np.array([int.from_bytes(md5(x.encode()).digest()[:4], "big") for x in lines], "i8")
-    ends = np.zeros(len(h), bool)
-    ends[-1] = True
-    return sorted({(int(a), int(b)) for s, e in boundaries(h, ends) for a, b in zip(s, e)})
+def chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of one document."""
+    return [(k, k + 2) for k in range(len(lines) - 1)]
 
 
 def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -79,80 +37,70 @@ def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def occurrences(docs: DataFrame, every_pair: bool = False) -> DataFrame:
-    """``digest, _id, _tag, a, b`` of every chunk; map-only."""
+def occurrences(docs: DataFrame, prints: bool = False) -> DataFrame:
+    """``digest, _id, _tag, a, b`` of every chunk; map-only.  With ``prints`` also
+    the two halves ``p, q`` of the document's SimHash."""
     rows = docs.select(docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_tag"), docs["text"].alias("_text"))
     rows = rows.where("_id is not null and instr(_text, '\n') > 0")
     kind = rows.schema["_id"].dataType.simpleString()
+    names = ["digest", "_id", "_tag", "a", "b", *("pq" if prints else "")]
 
     def digest(batches):
         for batch in slices(batches, "_text"):
-            doc, h, first, starts, ends, raws = [], [], [], [], [], []
-            for k, text in enumerate(batch.column("_text").to_pylist()):
+            made, many = [], []
+            texts = batch.column("_text").to_pylist()
+            for text in texts:
                 raw = text.encode()
-                lines = raw.split(b"\n")
-                first.append(len(h))
-                at = 0
-                for x in lines:
-                    h.append(md5(x).digest()[:4])
-                    starts.append(at)
-                    at += len(x) + 1
-                doc.extend([k] * len(lines))
-                ends.extend([False] * (len(lines) - 1) + [True])
-                raws.append(raw)
-            if not h:
-                continue
-            doc, starts = np.array(doc), np.array(starts + [0])
-            if every_pair:
-                s = np.nonzero(~np.array(ends))[0]
-                e = s + 2
-            else:
-                levels = boundaries(np.frombuffer(b"".join(h), ">u4").astype("i8"), np.array(ends))
-                key = np.unique(np.concatenate([s * (len(h) + 1) + e for s, e in levels]))
-                s, e = key // (len(h) + 1), key % (len(h) + 1)
-            owner = doc[s]
-            stop = np.array([len(r) + 1 for r in raws])[owner]
-            inner = e < len(h)
-            inner[inner] = doc[e[inner]] == owner[inner]
-            stop[inner] = starts[e[inner]]
-            made = [xxhash.xxh3_128_digest(raws[k][x : y - 1]) for k, x, y in zip(owner.tolist(), starts[s].tolist(), stop.tolist())]
-            base = np.array(first)[owner]
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(made, pa.binary()), batch.column("_id").take(take), batch.column("_tag").take(take), pa.array((s - base).astype("i4")), pa.array((e - base).astype("i4"))],
-                ["digest", "_id", "_tag", "a", "b"],
-            )
-
-    return rows.mapInArrow(digest, f"digest binary, _id {kind}, _tag bigint, a int, b int")
-
-
-def dedup_lines(docs: DataFrame, every_pair: bool = False) -> DataFrame:
+                at = [0]
+                while (k := raw.find(b"\n", at[-1])) >= 0:
+                    at.append(k + 1)
+                at.append(len(raw) + 1)
+                made.extend(xxhash.xxh3_128_digest(raw[x : y - 1]) for x, y in zip(at, at[2:]))
+                many.append(len(at) - 2)
+            owner = np.repeat(np.arange(len(texts)), many)
+            take, a = pa.array(owner), np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            cols = [pa.array(made, pa.binary()), batch.column("_id").take(take), batch.column("_tag").take(take), pa.array(a.astype("i4")), pa.array((a + 2).astype("i4"))]
+            if prints:
+                cols += [pa.array(h.view("<i8")[owner]) for h in simhash_vptree.signatures(texts)]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return rows.mapInArrow(digest, f"digest binary, _id {kind}, _tag bigint, a int, b int" + ", p bigint, q bigint" * prints)
+
+
+def dedup_lines(docs: DataFrame, spare_copies: bool = False) -> DataFrame:
     """The input's columns, ``text`` without repeated chunks, and
-    ``removed_lines``; one row for each input row.
-
-    ``every_pair`` makes each two adjacent lines a chunk; without it the chunks
-    are those of ``SQL``, which miss short passages.
+    ``removed_lines``; one row for each input row.  Where there is a ``n_chars``,
+    it follows a text that was cut.
 
     The first occurrence of a chunk, by (doc_id, hash of the text, line), stays
     unless an overlapping chunk that occurred still earlier covers it.  A chunk
-    whose digest agrees with the first one's but whose bytes don't is kept.  A
-    text of which every line is removed becomes empty.  Null and empty texts, and
+    whose digest agrees with the first one's but whose bytes don't is kept.  With
+    ``spare_copies`` a chunk also stays where its document and that of the first
+    occurrence are near copies as wholes (SimHash, the radius of
+    :mod:`simhash_vptree`), so that near-dedup still sees them whole.
+
+    A text of which every line is removed becomes empty.  Null and empty texts, and
     rows without an id, are unchanged and remove nothing elsewhere; rows with the
-    same id and text are one document and get the same result.  A column that is
-    called like the added one is replaced; other columns pass through, whatever
-    their names.  An empty table gives an empty result.
+    same id and text are one document and get the same result.  Texts are read whole,
+    however long.  A column that is called like the added one is replaced; other
+    columns pass through, whatever their names.  An empty table gives an empty result.
 
     What is shuffled: 50 bytes a chunk, twice; of repeated chunks, their bytes;
     and the texts once, to bring them to their documents' chunks.
     """
     names = [c for c in docs.columns if c != "removed_lines"]
-    seen = settle(occurrences(docs, every_pair))
+    seen = settle(occurrences(docs, spare_copies))
     # digests that occur again, with 24 bytes a chunk shuffled; what is left for the first one's place is little
     again = seen.join(seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digest")
     again = settle(again)
-    where = F.struct("_id", "_tag", "a")
+    where = F.struct("_id", "_tag", "a", *("pq" if spare_copies else ""))
     ends = again.groupBy("digest").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").select("digest", "first")
-    again = again.join(ends, "digest").select("_id", "_tag", F.struct("digest", "a", "b", (where == F.col("first")).alias("f")).alias("w"))
+    again = again.join(ends, "digest")
+    if spare_copies:
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"first.{c}"))) for c in "pq"), F.lit(0))
+        own = (F.col("_id") == F.col("first._id")) & (F.col("_tag") == F.col("first._tag"))
+        again = again.where(own | (apart > simhash_vptree.RADIUS))
+    again = again.select("_id", "_tag", F.struct("digest", "a", "b", (where == F.col("first")).alias("f")).alias("w"))
     wanted = again.groupBy("_id", "_tag").agg(F.sort_array(F.collect_set("w")).alias("want"))
     both = settle(_keyed(docs, names).join(wanted, ["_id", "_tag"], "left"))
     text = f"_row.f{names.index('text')}"
@@ -186,46 +134,30 @@ def dedup_lines(docs: DataFrame, every_pair: bool = False) -> DataFrame:
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     new = F.when(F.size("_gone") > 0, F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")).otherwise(F.col(text))
+    size = F.when(F.size("_gone") > 0, F.length(new).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else None
+    changed = {"text": new, "n_chars": size.otherwise(F.col(f"_row.f{names.index('n_chars')}")) if size is not None else None}
     return both.select(
-        *[new.alias(c) if c == "text" else F.col(f"_row.f{i}").alias(c) for i, c in enumerate(names)],
+        *[changed[c].alias(c) if changed.get(c) is not None else F.col(f"_row.f{i}").alias(c) for i, c in enumerate(names)],
         F.size("_gone").cast("bigint").alias("removed_lines"),
     )
 
 
-SQL = f"""
+SQL = """
 WITH d AS (
   SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND contains(text, chr(10))
 ), l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d
-), h AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l
 ), p AS (
-  SELECT *, ({BASE} * h + lead(h) OVER w) % {PRIME} AS pair, count(*) OVER (PARTITION BY doc_id) AS lines FROM h
-  WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), r AS (
-  SELECT p.*, level, coalesce(pair % {LEVELS} = level, false) AS hit FROM p, range({LEVELS}) AS t(level)
-), s AS (
-  SELECT *, hit AND NOT coalesce(lag(hit) OVER w AND lag(pair) OVER w <= pair, false)
-                AND NOT coalesce(lead(hit) OVER w AND lead(pair) OVER w < pair, false) AS atom
-  FROM r WINDOW w AS (PARTITION BY doc_id, level ORDER BY i)
-), g AS (
-  SELECT *, i > 1 AND NOT coalesce(lag(atom) OVER w, false) AND (hit OR coalesce(lag(hit, 2) OVER w, false)) AS starts FROM s
-  WINDOW w AS (PARTITION BY doc_id, level ORDER BY i)
-), c AS (
-  SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id, level ORDER BY i) AS chunk FROM g
-), k AS (
-  SELECT DISTINCT doc_id, a, b, body FROM (
-    SELECT doc_id, level, chunk, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS body
-    FROM c GROUP BY doc_id, level, chunk HAVING count(*) > 1)
+  SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM l
 ), f AS (
-  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS occurrence FROM k
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS occurrence FROM p WHERE body IS NOT NULL
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS i FROM f WHERE occurrence > 1
+  SELECT doc_id, i FROM f WHERE occurrence > 1 UNION SELECT doc_id, i + 1 FROM f WHERE occurrence > 1
 ), kept AS (
-  SELECT l.doc_id, count(gone.i) AS removed_lines, string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS text
+  SELECT l.doc_id, count(gone.i) AS removed_lines, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS text
   FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
 )
-SELECT o.doc_id, CASE WHEN kept.doc_id IS NULL THEN o.text ELSE coalesce(kept.text, '') END AS text,
-       o.lang, o.source, o.n_chars, coalesce(removed_lines, 0) AS removed_lines
+SELECT o.doc_id, CASE WHEN kept.doc_id IS NULL THEN o.text ELSE kept.text END AS text, o.lang, o.source,
+       CASE WHEN removed_lines > 0 THEN length(kept.text) ELSE o.n_chars END AS n_chars, coalesce(removed_lines, 0) AS removed_lines
 FROM documents AS o LEFT JOIN kept ON o.doc_id = kept.doc_id
 """
