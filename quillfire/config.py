@@ -81,12 +81,14 @@ class Profile:
 
 @dataclass(frozen=True)
 class Collection:
-    """``stored``: "all", "derived" (the fields that some role needs) or a list.
+    """``stored``: "all", "derived" (the fields that some role needs) or a list; where
+    it is left open, a collection that is created stores all, one that is applied
+    the derived fields.
     ``filters`` maps a field to "string" or "number"."""
 
     name: str
     search: tuple[str, ...]
-    stored: str | tuple[str, ...] = "all"
+    stored: str | tuple[str, ...] | None = None
     filters: Mapping[str, str] = field(default_factory=dict)
     facets: tuple[str, ...] = ()
     sorts: tuple[tuple[SortKey, ...], ...] = ()
@@ -94,14 +96,14 @@ class Collection:
     pending: tuple[str, ...] = ()
 
     @staticmethod
-    def make(name, search, stored="all", filters=None, facets=(), sorts=(), profiles=None, pending=()) -> Collection:
+    def make(name, search, stored=None, filters=None, facets=(), sorts=(), profiles=None, pending=()) -> Collection:
         """From plain lists and dictionaries."""
         built = {
             k: p if isinstance(p, Profile) else Profile(p["base"], tuple(t if isinstance(t, Term) else Term(**t) for t in p["terms"]), p.get("window"))
             for k, p in (profiles or {}).items()
         }
         return Collection(
-            name, tuple(search), stored if isinstance(stored, str) else tuple(stored), dict(filters or {}), tuple(facets),
+            name, tuple(search), stored if stored is None or isinstance(stored, str) else tuple(stored), dict(filters or {}), tuple(facets),
             tuple(sort_keys(s) for s in sorts), built, tuple(pending),
         )
 
@@ -121,8 +123,8 @@ def derived_fields(c: Collection) -> list[str]:
 
 def validate(c: Collection, enforce_caps: bool = False) -> None:
     """Raise ConfigError where a rule is broken."""
-    kept = None if isinstance(c.stored, str) else set(c.stored)
-    if kept is None and c.stored not in ("all", "derived"):
+    kept = None if c.stored is None or isinstance(c.stored, str) else set(c.stored)
+    if kept is None and c.stored not in (None, "all", "derived"):
         raise ConfigError("stored is 'all', 'derived' or a list of fields")
     for role, names in (("filters", c.filters), ("facets", c.facets), ("sorts", [k.field for s in c.sorts for k in s])):
         for f in names:

@@ -115,7 +115,7 @@ def parse(text: str, types: Mapping[str, str]):
     r = _Reader(text, types)
     node = r.expr()
     if r.peek() is not None:
-        raise FilterError("unexpected trailing tokens in filter")
+        raise FilterError("the filter goes on after its end")
     return node
 
 

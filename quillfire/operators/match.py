@@ -17,15 +17,22 @@ K1, B = 1.2, 0.75
 ONE_TASK = 200_000
 
 
-def all_tokens(search: tuple[str, ...], query_by: list[str] | None = None) -> Column:
-    """The token column that is searched: one field's if ``query_by`` names just
-    one, else all fields' in the declared order."""
+def searched(search: tuple[str, ...], query_by: list[str] | None = None) -> list[str]:
+    """The fields that are searched: one if ``query_by`` names just one, else all."""
     if query_by and len(query_by) == 1:
         if query_by[0] not in search:
             raise ValueError(f"field {query_by[0]!r} isn't searchable")
-        return F.col("_tokens").getField(query_by[0])
-    parts = [F.col("_tokens").getField(f) for f in search]
-    return F.concat(*parts) if parts else F.array().cast("array<string>")
+        return list(query_by)
+    return list(search)
+
+
+def all_tokens(search: tuple[str, ...], query_by: list[str] | None = None, have=None) -> Column:
+    """The token column that is searched, in the declared order of the fields.  A
+    field that isn't among those that the index has (all, if ``have`` isn't given)
+    or that a document has been written without has no tokens."""
+    none = F.array().cast("array<string>")
+    parts = [F.coalesce(F.col("_tokens").getField(f), none) for f in searched(search, query_by) if have is None or f in have]
+    return parts[0] if len(parts) == 1 else F.concat(*parts) if parts else none
 
 
 def is_term(query: list[str], k: int, prefix_len: int = 1):
@@ -50,43 +57,49 @@ def matches_any(toks: Column, query: list[str]) -> Column:
     return F.arrays_overlap(toks, F.array(*map(F.lit, query)))
 
 
-def bm25(index: DataFrame, toks: Column, query: list[str], keep: Column, prefix_len: int = 1) -> DataFrame:
+def counted(toks: Column, query: list[str], prefix_len: int = 1) -> list[Column]:
+    """Aggregates ``_n, _avg, _df0, _df1, ...`` that :func:`bm25` needs of the corpus."""
+    dfs = [F.count_if(F.exists(toks, is_term(query, k, prefix_len))).alias(f"_df{k}") for k in range(len(query))]
+    return [F.count("*").alias("_n"), F.avg(F.size(toks)).alias("_avg"), *dfs]
+
+
+def bm25(index: DataFrame, toks: Column, query: list[str], keep: Column, prefix_len: int = 1, stats: dict | None = None) -> DataFrame:
     """The rows that satisfy ``keep``, with ``_bm25`` rounded to 6 places.
 
-    Corpus statistics are one aggregation over the token column alone; the single
-    row that results is broadcast.  A prefix counts as one pseudo-term.
+    ``stats`` are the values of :func:`counted`; without them they come from an
+    aggregation over the token column alone, the single row of which is broadcast.
+    A prefix counts as one pseudo-term.
     """
-    terms = list(dict.fromkeys(range(len(query))))
-    stats = index.select(toks.alias("_t")).agg(
-        F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg"),
-        *[F.count_if(F.exists("_t", is_term(query, k, prefix_len))).alias(f"_df{k}") for k in terms],
-    )
-    rows = index.where(keep).crossJoin(F.broadcast(stats))  # one row
+    rows, names = index.where(keep), []
+    if stats is None:
+        told = index.select(toks.alias("_t")).agg(*counted(F.col("_t"), query, prefix_len))
+        rows, names = rows.crossJoin(F.broadcast(told)), told.columns  # one row
+    of = lambda name: F.col(name) if stats is None else F.lit(stats[name])
     size = F.size(toks)
     score = F.lit(0.0)
-    for k in terms:
+    for k in range(len(query)):
         tf = F.size(F.filter(toks, is_term(query, k, prefix_len)))
-        idf = F.log(1 + (F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))
-        score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * size / F.greatest("_avg", F.lit(1e-9))))
-    return rows.withColumn("_bm25", F.round(score, 6)).drop("_n", "_avg", *[f"_df{k}" for k in terms])
+        idf = F.log(1 + (of("_n") - of(f"_df{k}") + 0.5) / (of(f"_df{k}") + 0.5))
+        score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * size / F.greatest(of("_avg"), F.lit(1e-9))))
+    return rows.withColumn("_bm25", F.round(score, 6)).drop(*names)
 
 
 def numbered(df: DataFrame, keys: list[Column], name: str = "_pos", rows: int | None = None, pieces: int = 64) -> DataFrame:
     """``df`` with ``name``, the rank of each row from 0 in the order of ``keys``.
 
     The keys must order the rows totally.  Small inputs are numbered by one
-    window.  Larger ones are partitioned by range, numbered within each range, and
-    shifted by the sizes of the ranges before, so no task sees more than a range;
-    the ranges are checkpointed, as two plans read them.
+    window.  Larger ones are partitioned by range, numbered within each range as
+    they are written, and shifted by the sizes of the ranges before; so no task sees
+    more than a range, and rows are shuffled once.
     """
     n = df.count() if rows is None else rows
     if n <= ONE_TASK:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("bigint"))
-    # range partitioning sorts; the number of rows before a partition comes from its count
-    ranged = df.repartitionByRange(pieces, *keys).withColumn("_part", F.spark_partition_id())
-    ranged = settle(ranged)
+    # sorted ranges: a row's id has its range in the upper bits, its place there in the lower
+    ranged = df.repartitionByRange(pieces, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ranged = settle(ranged).withColumn("_part", F.shiftright("_at", 33))
     before = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
     before = before.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
-    out = ranged.withColumn("_k", within).join(F.broadcast(before.drop("_c")), "_part")  # one row a range
-    return out.withColumn(name, (F.col("_k") + F.col("_before")).cast("bigint")).drop("_k", "_part", "_before")
+    out = ranged.join(F.broadcast(before.drop("_c")), "_part")  # one row a range
+    place = F.col("_at") - F.shiftleft("_part", 33)
+    return out.withColumn(name, place + F.col("_before")).drop("_at", "_part", "_before")

@@ -12,7 +12,8 @@ Which plan a request gets, first match wins:
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -53,12 +54,23 @@ class Request:
     bounds: str = "exact"
 
 
+@dataclass
+class Known:
+    """What was counted when documents were written: their number, tokens in some
+    fields, counts of facets and terms by trigram (None where they weren't kept)."""
+
+    documents: int
+    tokens: Callable[[list[str]], int]
+    facets: Callable[[list[str]], DataFrame | None]
+    grams: Callable[[], DataFrame | None]
+
+
 class Search:
     """A planned request.  ``hits`` and ``facet_counts`` are DataFrames; ``found``
-    and ``out_of`` count when they are asked for."""
+    and ``out_of`` count when they are asked for, unless ``known`` tells."""
 
-    def __init__(self, index: DataFrame, c: Collection, r: Request):
-        self.index, self.c, self.r = index, c, r
+    def __init__(self, index: DataFrame, c: Collection, r: Request, known: Known | None = None):
+        self.index, self.c, self.r, self.known = index, c, r, known
         self.page = max(1, int(r.page // 1))
         self.per_page = min(MOST_PER_PAGE, max(1, int(r.per_page // 1)))
         self.first = (self.page - 1) * self.per_page
@@ -83,7 +95,7 @@ class Search:
         declared = bool(self.sort) and not self.ranked_by and not self.profile and self.sort in c.sorts
         if self.tokens:
             self.path = "text"
-            match.all_tokens(c.search, r.query_by)  # raises early
+            match.searched(c.search, r.query_by)  # raises early
         elif self.filtered:
             self.path = "filter"
         elif not self.custom:
@@ -102,30 +114,43 @@ class Search:
         return min(MOST_WINDOW, max(self.per_page, WINDOW))
 
     @cached_property
+    def _asked(self) -> tuple[list[str], dict]:
+        """The query's tokens, corrected if they find nothing, and one row of counts
+        for them: ``_total`` documents found, and what BM25 needs of the corpus."""
+        first = self._counts(self.tokens)
+        if first["_total"] or not self.r.typo:
+            return self.tokens, first
+        grams = self.known.grams() if self.known else None
+        if grams is None:
+            grams = typo.gram_table(typo.vocabulary(self.index, self.c.search))
+        better = typo.correct(grams, self.tokens)
+        return (better, self._counts(better)) if better else (self.tokens, first)
+
+    def _counts(self, query: list[str]) -> dict:
+        """One job, over the tokens and the columns of the filter."""
+        toks = self._toks()
+        told = self.index.agg(
+            *match.counted(toks, query, self.r.prefix_len), F.count_if(match.matches(toks, query, self.r.prefix_len) & self.predicate).alias("_total")
+        ).first().asDict()
+        return told | {"_avg": told["_avg"] or 0.0}
+
+    @property
     def used_tokens(self) -> list[str]:
-        """The query's tokens, corrected if they find nothing."""
-        if self.path != "text" or not self.r.typo:
-            return self.tokens
-        if not self._matching(self.tokens).isEmpty():
-            return self.tokens
-        return typo.correct(typo.vocabulary(self.index, self.c.search), self.tokens) or self.tokens
+        return self._asked[0] if self.path == "text" else self.tokens
 
     def _toks(self) -> Column:
-        return match.all_tokens(self.c.search, self.r.query_by)
-
-    def _matching(self, query: list[str]) -> DataFrame:
-        return self.index.where(match.matches(self._toks(), query, self.r.prefix_len) & self.predicate)
+        return match.all_tokens(self.c.search, self.r.query_by, self.index.schema["_tokens"].dataType.names)
 
     @cached_property
     def matched(self) -> DataFrame:
         """The documents found, with ``_bm25`` on the text path."""
         if self.path == "text":
-            query, toks = self.used_tokens, self._toks()
+            (query, stats), toks = self._asked, self._toks()
             keep = match.matches(toks, query, self.r.prefix_len)
             if self.r.bounds == "compat":
-                near = match.bm25(self.index, toks, query, match.matches_any(toks, query) & self.predicate, self.r.prefix_len)
+                near = match.bm25(self.index, toks, query, match.matches_any(toks, query) & self.predicate, self.r.prefix_len, stats)
                 return near.orderBy(F.desc("_bm25"), "id").limit(self.compat_window).where(keep)
-            return match.bm25(self.index, toks, query, keep & self.predicate, self.r.prefix_len)
+            return match.bm25(self.index, toks, query, keep & self.predicate, self.r.prefix_len, stats)
         if self.r.bounds == "compat" and self.path in ("filter", "custom"):
             n = self.compat_window if self.path == "filter" else WINDOW
             return self.index.orderBy("id").limit(n).where(self.predicate)
@@ -133,14 +158,21 @@ class Search:
 
     @cached_property
     def out_of(self) -> int:
-        return self.index.count()
+        return self.known.documents if self.known else self.index.count()
 
     @cached_property
-    def found(self) -> int:
-        if self.path in ("browse", "sorted", "profile", "custom"):
+    def total(self) -> int:
+        """Documents in :attr:`matched`."""
+        if self.path == "text" and self.r.bounds != "compat":
+            return self._asked[1]["_total"]
+        if not self.filtered and self.r.bounds != "compat":
             return self.out_of
         return self.matched.count()
 
+    @cached_property
+    def found(self) -> int:
+        return self.out_of if self.path in ("browse", "sorted", "profile", "custom") else self.total
+
     @cached_property
     def found_approximate(self) -> bool:
         if self.r.bounds != "compat":
@@ -168,9 +200,11 @@ class Search:
     def _positioned(self) -> DataFrame:
         """Matched documents with ``_pos``, their place by relevance (by id
         without a query), and ``_total``."""
-        keys = [F.desc("_bm25"), F.col("id").asc()] if self.path == "text" else [F.col("id").asc()]
-        total = self.matched.count()
-        return match.numbered(self.matched, keys, rows=total).withColumn("_total", F.lit(total))
+        return match.numbered(self.matched, self._by_relevance, rows=self.total).withColumn("_total", F.lit(self.total))
+
+    @property
+    def _by_relevance(self) -> list[Column]:
+        return [F.desc("_bm25"), F.col("id").asc()] if self.path == "text" else [F.col("id").asc()]
 
     @cached_property
     def ordered(self) -> tuple[DataFrame, list[Column]]:
@@ -181,13 +215,16 @@ class Search:
             return self.index.select("*", plain), [F.col("id").asc()]
         if self.path == "sorted":
             return self.index.select("*", plain), rank.order_columns(self.index, self.sort)
+        if self.path in ("text", "filter") and not self.custom:
+            # a page of the plain order is a top-k; its places, hence scores, follow from where it begins
+            return self.matched.withColumn("_score", F.lit(None).cast("double")), self._by_relevance
         if self.path == "profile":
             base = next(s for s in self.c.sorts if spec_id(s) == self.profile.base)
             order = rank.order_columns(self.index, base)
             w = self.profile_window
             # only the window is numbered; the tail keeps the base order
             top = self.index.orderBy(*order).limit(w)
-            n = top.count()
+            n = min(w, self.out_of)
             top = match.numbered(top, order, rows=n)
             rel = rank.synth_score(F.col("_pos"), F.lit(n))
             score = rank.profile_score(self.index, self.profile, rel, r.weights, r.context)
@@ -201,8 +238,6 @@ class Search:
             if self.path == "filter":  # truncated to the window, without a tail
                 rows = rows.orderBy(*keys).limit(self.profile_window)
             return rows, keys
-        if self.path == "filter" and not self.custom:
-            return rows, [F.col("_pos").asc()]
         text_match = rank.blend_score(self.index, F.col("_score"), self.rank_by)
         sort = (SortKey("_text_match", "desc"),) if self.sort is None else self.sort
         return rows, rank.order_columns(self.index, sort, text_match)
@@ -215,7 +250,10 @@ class Search:
         fields = (self.r.query_by or list(self.c.search)) if self.tokens else []
         text = [f for f in dict.fromkeys(fields) if f in self.index.columns and dict(self.index.dtypes)[f] == "string"]
         page = rows.orderBy(*keys).offset(self.first).limit(self.per_page)
-        page = match.numbered(page, keys, "_at", rows=self.per_page)
+        page = match.numbered(page, keys, "_at", rows=self.per_page).withColumn("_at", F.col("_at") + self.first)
+        score = F.col("_score")
+        if self.path in ("text", "filter") and not self.custom:
+            score = rank.synth_score(F.col("_at"), F.lit(self.total))
         terms = self.used_tokens if self.r.highlight_expanded else self.tokens
         marks = F.filter(
             F.array(*[F.struct(F.lit(f).alias("key"), highlight(F.col(f"`{f}`"), terms).alias("value")) for f in text]) if text
@@ -223,22 +261,36 @@ class Search:
             lambda e: e["value"].isNotNull(),
         )
         return page.select(
-            (F.col("_at") + self.first).alias("pos"), "id", F.col("_score").cast("double").alias("score"), F.map_from_entries(marks).alias("highlight")
+            F.col("_at").alias("pos"), "id", score.cast("double").alias("score"), F.map_from_entries(marks).alias("highlight")
         )
 
     @cached_property
     def facet_counts(self) -> DataFrame:
         """``field_name, value, count`` over all documents found."""
-        return facets.facet_counts(self.matched, list(self.r.facet_by or []), self.c.facets, self.r.max_facet_values)
+        r, fields = self.r, list(self.r.facet_by or [])
+        if fields and self.known and not self.filtered and not self.tokens and r.bounds != "compat":
+            counts = self.known.facets(fields)
+            if counts is not None:
+                return facets.most_frequent(counts, r.max_facet_values)
+        return facets.facet_counts(self.matched, fields, self.c.facets, r.max_facet_values)
 
     def collect(self) -> dict:
-        """The whole answer as plain values; the page and the facets are small."""
+        """The whole answer as plain values; the page and the facets are small.
+
+        A text search is one job for counts, then at the same time one for the page
+        and one for the facets, if any are asked for.
+        """
         by: dict[str, list] = {f: [] for f in self.r.facet_by or []}
-        for row in sorted(self.facet_counts.collect(), key=lambda x: (-x["count"], x["value"])) if by else []:
+        self.used_tokens  # counts first: page and facets depend on them
+        with ThreadPoolExecutor(3) as pool:
+            rows = pool.submit(lambda: self.facet_counts.collect() if by else [])
+            found = pool.submit(lambda: (self.found, self.found_approximate, self.out_of))
+            hits = sorted(self.hits.collect(), key=lambda x: x["pos"])
+            found, found_approximate, out_of = found.result()
+        for row in sorted(rows.result(), key=lambda x: (-x["count"], x["value"])):
             by[row["field_name"]].append({"value": row["value"], "count": row["count"]})
-        hits = sorted(self.hits.collect(), key=lambda x: x["pos"])
         return {
-            "found": self.found, "found_approximate": self.found_approximate, "reranked": self.reranked, "page": self.page, "out_of": self.out_of,
+            "found": found, "found_approximate": found_approximate, "reranked": self.reranked, "page": self.page, "out_of": out_of,
             "hits": [{"id": h["id"], "score": h["score"], "highlight": {k: v.asDict() for k, v in h["highlight"].items()}} for h in hits],
             "facet_counts": [{"field_name": f, "counts": v} for f, v in by.items()],
         }

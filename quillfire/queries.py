@@ -196,7 +196,7 @@ found_query("query_by_one_field", "parts", f"SELECT p_partkey::VARCHAR AS id FRO
 SELECT term, levenshtein(term, 'gizzmo')::INTEGER AS dist FROM v WHERE levenshtein(term, 'gizzmo') <= 1""")
 def typo_suggest(spark, sf_dir):
     index, c = index_of(spark, sf_dir, "parts")
-    return typo.suggest(typo.vocabulary(index, c.search), "gizzmo")
+    return typo.suggest(typo.gram_table(typo.vocabulary(index, c.search)), ["gizzmo"]).select("term", "dist")
 
 
 hits_query("typo_corrected_search", "parts", page_sql("m", "pos", SYNTH, extra=bm25_sql("parts", ["widget"])), q="widgt")

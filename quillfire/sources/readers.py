@@ -21,7 +21,7 @@ def read_documents(spark: SparkSession, path: str, id_field: str, fmt: str = "pa
 
 def stored_fields(df: DataFrame, c: Collection) -> list[str]:
     have = [f for f in df.columns if f not in ("id", "_tokens")]
-    if c.stored == "all":
+    if c.stored in (None, "all"):
         return have
     wanted = derived_fields(c) if c.stored == "derived" else c.stored
     return [f for f in wanted if f in have]

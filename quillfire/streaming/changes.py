@@ -12,21 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfire.engine import SearchEngine
+from quillfire.sources.scratch import discard, settle
 from quillfire.sources.store import last_of_each
 
 
 def apply_changes(engine: SearchEngine, name: str, batch: DataFrame) -> None:
-    """One batch of changes; those without an id are ignored."""
-    last = last_of_each(batch.where("id is not null"), "seq").cache()
+    """One batch of changes as one state; those without an id are ignored."""
+    last = settle(last_of_each(batch.where("id is not null"), "seq"))
     try:
-        gone = last.where("op = 'delete'").select("id")
-        kept = last.where("op = 'upsert'").drop("op", "seq")
-        if not gone.isEmpty():
-            engine.delete(name, gone)
-        if not kept.isEmpty():
-            engine.upsert_many(name, kept)
+        engine.change(name, last.where("op = 'upsert'").drop("op", "seq"), last.where("op = 'delete'").select("id"))
     finally:
-        last.unpersist()
+        discard(last)
 
 
 def follow(engine: SearchEngine, name: str, changes: DataFrame, checkpoint: str, **trigger):

@@ -135,9 +135,10 @@ def test_clamps(shoes):
 
 
 def test_typo_dictionary(spark):
-    vocab = spark.createDataFrame([("running",), ("runner",), ("ringtone",)], "term string")
-    assert [r.term for r in typo.suggest(vocab, "runing").orderBy("dist", "term").collect()][0] == "running"
-    assert typo.suggest(vocab, "xyz").count() == 0 and typo.suggest(vocab, "ab").count() == 0 and typo.suggest(vocab, "").count() == 0
+    vocab = typo.gram_table(spark.createDataFrame([("running",), ("runner",), ("ringtone",)], "term string"))
+    assert [r.term for r in typo.suggest(vocab, ["runing"]).orderBy("dist", "term").collect()][0] == "running"
+    assert all(typo.suggest(vocab, [t]).count() == 0 for t in ("xyz", "ab", "", "ringtune" + "x" * 9))
+    assert typo.correct(vocab, ["xyz", "runing", "rinktone"]) == ["xyz", "running", "ringtone"] and typo.correct(vocab, ["xyz"]) is None
 
 
 def test_positions_of_large_inputs(spark, monkeypatch):
