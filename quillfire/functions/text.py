@@ -33,14 +33,22 @@ def typo_budget(length: int) -> int:
     return 0 if length <= 3 else 1 if length <= 7 else 2
 
 
-def highlight(col: Column, terms: list[str]) -> Column:
-    """``struct(snippet, matched_tokens)``: the text, escaped, with each word that
-    is one of ``terms`` in ``<mark>``; NULL where no word is."""
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    words = F.regexp_extract_all(col, F.lit(WORD), F.lit(1))
-    gaps = F.split(col, WORD, -1)  # one more than words
-    hit = lambda w: F.lower(w).isin(terms) if terms else F.lit(False)
-    marked = F.transform(words, lambda w: F.when(hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-    joined = F.zip_with(F.transform(gaps, esc), marked, lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))))
-    matched = F.array_distinct(F.filter(words, hit))
-    return F.when(F.size(matched) > 0, F.struct(F.array_join(joined, "").alias("snippet"), matched.alias("matched_tokens")))
+def highlight_sql(field: str, terms: list[str]) -> str:
+    """SQL of ``struct(snippet, matched_tokens)``: the text, escaped, with each word
+    that is one of ``terms`` in ``<mark>``; NULL where no word is.
+
+    Text rather than columns, as one expression is parsed in a fraction of the time
+    that building it call by call takes.
+    """
+    f = "`" + field.replace("`", "``") + "`"
+    hit = "lower(w) IN (" + ", ".join("'" + re.sub(r"(['\\])", r"\\\1", t) + "'" for t in terms) + ")" if terms else "false"
+    words, gaps = f"regexp_extract_all({f}, r'{WORD}', 1)", f"split({f}, r'{WORD}', -1)"  # one more gap than words
+    matched = f"array_distinct(filter({words}, w -> {hit}))"
+    escaped = "replace(replace(replace(g, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    marked = f"transform({words}, w -> if({hit}, concat('<mark>', w, '</mark>'), w))"
+    snippet = f"array_join(zip_with(transform({gaps}, g -> {escaped}), {marked}, (g, w) -> concat(g, coalesce(w, ''))), '')"
+    return f"if(size({matched}) > 0, named_struct('snippet', {snippet}, 'matched_tokens', {matched}), NULL)"
+
+
+def highlight(field: str, terms: list[str]) -> Column:
+    return F.expr(highlight_sql(field, terms))

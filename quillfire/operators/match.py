@@ -81,7 +81,8 @@ def bm25(index: DataFrame, toks: Column, query: list[str], keep: Column, prefix_
         tf = F.size(F.filter(toks, is_term(query, k, prefix_len)))
         idf = F.log(1 + (of("_n") - of(f"_df{k}") + 0.5) / (of(f"_df{k}") + 0.5))
         score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * size / F.greatest(of("_avg"), F.lit(1e-9))))
-    return rows.withColumn("_bm25", F.round(score, 6)).drop(*names)
+    rows = rows.withColumn("_bm25", F.round(score, 6))
+    return rows.drop(*names) if names else rows
 
 
 def numbered(df: DataFrame, keys: list[Column], name: str = "_pos", rows: int | None = None, pieces: int = 64) -> DataFrame:

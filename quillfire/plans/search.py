@@ -17,11 +17,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfire.config import Collection, SortKey, sort_keys, spec_id
-from quillfire.functions.text import highlight, tokens_of
+from quillfire.functions.text import highlight_sql, tokens_of
 from quillfire.operators import facets, filters, match, rank, typo
 
 MOST_PER_PAGE, WINDOW, MOST_WINDOW = 250, 200, 1000
@@ -208,16 +208,16 @@ class Search:
 
     @cached_property
     def ordered(self) -> tuple[DataFrame, list[Column]]:
-        """(documents, columns to order them by); ``_score`` is the hits' score."""
+        """(documents, columns to order them by); ``_score`` is the hits' score, 0
+        where there is none."""
         r = self.r
-        plain = F.lit(0.0).alias("_score")
         if self.path == "browse":
-            return self.index.select("*", plain), [F.col("id").asc()]
+            return self.index, [F.col("id").asc()]
         if self.path == "sorted":
-            return self.index.select("*", plain), rank.order_columns(self.index, self.sort)
+            return self.index, rank.order_columns(self.index, self.sort)
         if self.path in ("text", "filter") and not self.custom:
             # a page of the plain order is a top-k; its places, hence scores, follow from where it begins
-            return self.matched.withColumn("_score", F.lit(None).cast("double")), self._by_relevance
+            return self.matched, self._by_relevance
         if self.path == "profile":
             base = next(s for s in self.c.sorts if spec_id(s) == self.profile.base)
             order = rank.order_columns(self.index, base)
@@ -250,18 +250,15 @@ class Search:
         fields = (self.r.query_by or list(self.c.search)) if self.tokens else []
         text = [f for f in dict.fromkeys(fields) if f in self.index.columns and dict(self.index.dtypes)[f] == "string"]
         page = rows.orderBy(*keys).offset(self.first).limit(self.per_page)
-        page = match.numbered(page, keys, "_at", rows=self.per_page).withColumn("_at", F.col("_at") + self.first)
-        score = F.col("_score")
+        at = (F.row_number().over(Window.orderBy(*keys)) + (self.first - 1)).cast("bigint")  # of a page alone
+        score = F.col("_score") if "_score" in rows.columns else F.lit(0.0)
         if self.path in ("text", "filter") and not self.custom:
-            score = rank.synth_score(F.col("_at"), F.lit(self.total))
+            score = rank.synth_score(at, F.lit(self.total))
         terms = self.used_tokens if self.r.highlight_expanded else self.tokens
-        marks = F.filter(
-            F.array(*[F.struct(F.lit(f).alias("key"), highlight(F.col(f"`{f}`"), terms).alias("value")) for f in text]) if text
-            else F.array().cast("array<struct<key:string,value:struct<snippet:string,matched_tokens:array<string>>>>"),
-            lambda e: e["value"].isNotNull(),
-        )
+        each = ", ".join(f"named_struct('key', '{f}', 'value', {highlight_sql(f, terms)})" for f in text)
+        marks = F.expr(f"map_from_entries(filter(array({each}), e -> e.value IS NOT NULL))" if text else "cast(map() as map<string,struct<snippet:string,matched_tokens:array<string>>>)")
         return page.select(
-            F.col("_at").alias("pos"), "id", score.cast("double").alias("score"), F.map_from_entries(marks).alias("highlight")
+            at.alias("pos"), "id", score.cast("double").alias("score"), marks.alias("highlight")
         )
 
     @cached_property

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfire.config import Collection, Term
+from quillfire.engine import SearchEngine
 from quillfire.functions.coerce import number, string
 from quillfire.functions.text import highlight, tokens, trigrams
 from quillfire.operators import facets, match, rank, typo
 from quillfire.operators.filters import compile_filter
 from quillfire.plans.search import Request, Search, hydrate
 from quillfire.sources.readers import index_rows
+from quillfire.sources.scratch import scratch_dir
 from quillfire.sources.store import last_of_each, remove_by_id, replace_by_id
 from quillfire.streaming.changes import facet_deltas
 
@@ -132,13 +136,14 @@ def cond(query: list[str], k: int) -> str:
     return f"starts_with(t, '{query[k]}')" if k == len(query) - 1 else f"t = '{query[k]}'"
 
 
-def bm25_sql(collection: str, words: list[str], where: str = "true", toks: str = "toks") -> str:
-    """CTEs ending in ``m``: the documents found, with ``s``, ``pos`` and ``total``."""
+def bm25_sql(collection: str, words: list[str], where: str = "true", toks: str = "toks", match: str | None = None) -> str:
+    """CTEs ending in ``m``: the documents found, with ``s``, ``pos`` and ``total``.
+    ``match`` in place of every word being there."""
     n = range(len(words))
     df = ", ".join(f"count(*) FILTER (len(list_filter({toks}, lambda t: {cond(words, k)})) > 0) AS df{k}" for k in n)
     tf = ", ".join(f"len(list_filter({toks}, lambda t: {cond(words, k)})) AS tf{k}" for k in n)
     score = " + ".join(f"ln(1 + (n - df{k} + 0.5) / (df{k} + 0.5)) * (tf{k} * 2.2) / (tf{k} + 1.2 * (0.25 + 0.75 * len({toks}) / av))" for k in n)
-    every = " AND ".join(f"tf{k} > 0" for k in n)
+    every = match or " AND ".join(f"tf{k} > 0" for k in n)
     return f"""WITH ix AS ({IX[collection]}), st AS (SELECT count(*) AS n, avg(len({toks})) AS av, {df} FROM ix),
 f AS (SELECT *, {tf} FROM ix), g AS (SELECT *, round({score}, 6) AS s FROM f, st WHERE {every} AND ({where})),
 m AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) - 1 AS pos, count(*) OVER () AS total FROM g)"""
@@ -192,11 +197,19 @@ def or_match(spark, sf_dir):
 found_query("query_by_one_field", "parts", f"SELECT p_partkey::VARCHAR AS id FROM part WHERE len(list_filter({tok('p_type')}, lambda t: starts_with(t, 's'))) > 0", q="s", query_by=["p_type"])
 
 
-@query(f"""WITH v AS (SELECT DISTINCT unnest(toks) AS term FROM ({IX["parts"]}))
-SELECT term, levenshtein(term, 'gizzmo')::INTEGER AS dist FROM v WHERE levenshtein(term, 'gizzmo') <= 1""")
+MISSPELT = ["thaat", "stiong", "mennte", "ungerr", "whichh", "the", "xqzwv"]  # the last two: too short, nothing near
+_BUDGET = "CASE WHEN length({0}) <= 3 THEN 0 WHEN length({0}) <= 7 THEN 1 ELSE 2 END"
+_ASCII = "regexp_replace(term, '[^ -~]', '~', 'g')"  # DuckDB counts the bytes of a character as edits
+_GRAMS = "list_distinct(CASE WHEN length({0}) < 3 THEN [{0}] ELSE [substr({0}, i, 3) FOR i IN range(1, length({0}) - 1)] END)"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT unnest({tok('text')}) AS term FROM documents),
+q AS (SELECT unnest(range({len(MISSPELT)}))::INTEGER AS k, unnest({MISSPELT}) AS t), w AS (SELECT *, {_BUDGET.format("t")} AS b, {_GRAMS.format("t")} AS g FROM q)
+SELECT k, term, levenshtein(t, {_ASCII})::INTEGER AS dist FROM v, w WHERE b > 0 AND levenshtein(t, {_ASCII}) <= b
+AND len(list_intersect(g, {_GRAMS.format("term")})) >= greatest(1, len(g) - 3 * b)""")
 def typo_suggest(spark, sf_dir):
-    index, c = index_of(spark, sf_dir, "parts")
-    return typo.suggest(typo.gram_table(typo.vocabulary(index, c.search)), ["gizzmo"]).select("term", "dist")
+    index, c = index_of(spark, sf_dir, "docs")
+    return typo.suggest(typo.gram_table(typo.vocabulary(index, c.search)), MISSPELT)
 
 
 hits_query("typo_corrected_search", "parts", page_sql("m", "pos", SYNTH, extra=bm25_sql("parts", ["widget"])), q="widgt")
@@ -207,7 +220,7 @@ hits_query("bm25", "docs", page_sql("m", "pos", SYNTH, n=250, extra=bm25_sql("do
 @query("SELECT p_partkey::VARCHAR AS id, regexp_replace(p_name, '(?i)\\b(widget|blue)\\b', '<mark>\\1</mark>', 'g') AS snippet FROM part WHERE regexp_matches(p_name, '(?i)\\b(widget|blue)\\b')")
 def highlight_field(spark, sf_dir):
     index, _ = index_of(spark, sf_dir, "parts")
-    return index.select("id", highlight(F.col("p_name"), ["widget", "blue"])["snippet"].alias("snippet")).where("snippet is not null")
+    return index.select("id", highlight("p_name", ["widget", "blue"])["snippet"].alias("snippet")).where("snippet is not null")
 
 
 # ---- filters -----------------------------------------------------------------
@@ -224,6 +237,14 @@ for _name, _text, _where in (
 hits_query("filter_page", "parts", page_sql("m", "pos", SYNTH, extra=filtered("parts", "p_size BETWEEN 10 AND 20")), filter_by="p_size:[10..20]")
 hits_query("text_filter", "parts", page_sql("m", "pos", SYNTH, extra=bm25_sql("parts", ["widget"], "p_size > 25")), q="widget", filter_by="p_size:>25")
 
+# what a hosted index would look at: the first 200 documents by id, or by relevance of those with any of the words
+found_query("compat_filter", "parts", f"WITH ix AS ({IX['parts']}) SELECT id FROM (SELECT * FROM ix ORDER BY id LIMIT 200) WHERE p_size BETWEEN 10 AND 20", filter_by="p_size:[10..20]", bounds="compat")
+found_query(
+    "compat_text", "parts", f"{bm25_sql('parts', ['blue', 'widget'], match="list_has_any(toks, ['blue', 'widget'])")} SELECT id FROM (SELECT * FROM m ORDER BY s DESC, id LIMIT 200) WHERE tf0 > 0 AND tf1 > 0",
+    q="blue widget", bounds="compat",
+)
+hits_query("compat_rank_by", "parts", page_sql("m", "1.0 * p_size DESC, id", SYNTH, extra=f"WITH ix AS ({IX['parts']}), m AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS total FROM (SELECT * FROM ix ORDER BY id LIMIT 200))"), rank_by={"text": 0, "fields": {"p_size": 1}}, bounds="compat")
+
 # ---- browsing, sorting, pages --------------------------------------------------
 hits_query("browse_page", "parts", page_sql("m", "id", extra=from_ix("parts")))
 hits_query("browse_page_40", "parts", page_sql("m", "id", first=390, extra=from_ix("parts")), page=40)
@@ -330,9 +351,50 @@ def derived_projection(spark, sf_dir):
     return index_rows(docs, replace(c, stored="derived")).drop("_tokens")
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> SearchEngine:
+    """An engine with one of the collections, in the shared folder."""
+    docs, c = collection_rows(spark, sf_dir, name)
+    engine = SearchEngine(spark, f"{scratch_dir(spark)}/{uuid4().hex}", buckets=4)
+    engine.create_collection(c)
+    engine.upsert_many(name, docs)
+    return engine
+
+
 @query("SELECT p_partkey::VARCHAR AS id, p_name FROM part WHERE p_partkey = 7")
 def point_lookup(spark, sf_dir):
-    return collection_rows(spark, sf_dir, "parts")[0].where("id = '7'").select("id", "p_name")
+    return stored(spark, sf_dir, "parts").get("parts", "7").select("id", "p_name")
+
+
+def changed(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    """Large parts gone, small ones renamed and new ones added, as one state."""
+    engine, docs = stored(spark, sf_dir, "parts"), collection_rows(spark, sf_dir, "parts")[0]
+    small = docs.where("p_size < 5").withColumn("p_name", F.lit("changed widget"))
+    new = docs.where("p_size = 20").withColumn("id", F.concat(F.lit("n"), "id")).withColumn("p_brand", F.lit("Brand#new"))
+    engine.change("parts", small.unionAll(new), docs.where("p_size > 40 or p_size < 3"))  # an id in both is upserted
+    return engine
+
+
+CHANGED = f"""SELECT p_partkey::VARCHAR AS id, CASE WHEN p_size < 5 THEN 'changed widget' ELSE p_name END AS p_name, p_brand, p_type FROM part WHERE p_size <= 40
+UNION ALL SELECT 'n' || p_partkey, p_name, 'Brand#new', p_type FROM part WHERE p_size = 20"""
+
+
+@query(CHANGED)
+def engine_changes(spark, sf_dir):
+    return changed(spark, sf_dir).index("parts").select("id", "p_name", "p_brand", "p_type")
+
+
+@query(facet_sql("ix", ["p_brand", "p_type"], f"WITH ix AS ({CHANGED})"))
+def engine_facet_counters(spark, sf_dir):
+    return changed(spark, sf_dir).search("parts", facet_by=["p_brand", "p_type"]).facet_counts
+
+
+IX["changed"] = f"SELECT *, list_concat({tok('p_name')}, {tok('p_brand')}, {tok('p_type')}) AS toks FROM ({CHANGED})"
+
+
+@query(page_sql("m", "pos", SYNTH, n=50, extra=bm25_sql("changed", ["changed", "widget"])))
+def engine_search(spark, sf_dir):
+    hits = changed(spark, sf_dir).search("parts", "changd widgt", per_page=50).hits  # corrected by the stored trigrams
+    return hits.select("pos", "id", F.round("score", 6).alias("score"))
 
 
 @query(page_sql("m", "p_retailprice, id", extra=from_ix("parts")).replace("SELECT pos2 AS pos, id, round(0.0, 6)::DOUBLE AS score", "SELECT pos2 AS pos, id, p_name"))
@@ -350,22 +412,55 @@ def facet_delta(spark, sf_dir):
 
 
 # ---- coercion and the example application ---------------------------------------------
-@query("""SELECT event_id::VARCHAR AS id, CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE NULL END AS whole, round(value, 6) AS num,
-CASE event_type WHEN 'click' THEN NULL ELSE NULL END::DOUBLE AS none FROM events""")
+LOOSE = ["", "   ", " 12 ", "1e3", "1d", "abc", "-.5", "5.", "+7", "nan", "0x10", "true", "1 2", ".", "2.50"]
+
+
+@query(f"""WITH e AS (SELECT event_id, value, ({LOOSE})[event_id % {len(LOOSE)} + 1] AS s, (event_id % 9 + 1) / 100000.0::DOUBLE AS small, 12345678.5 + event_id AS large FROM events)
+SELECT event_id::VARCHAR AS id, CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR WHEN abs(value) >= 0.001 THEN value::VARCHAR END AS text, round(value, 6) AS num,
+CASE WHEN trim(s) = '' THEN 0.0 WHEN regexp_full_match(trim(s), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[0-9]+)?') THEN trim(s)::DOUBLE END AS of_text,
+rtrim(small::DECIMAL(38,18)::VARCHAR, '0') AS small, large::VARCHAR AS large, (event_id * 1000000007)::VARCHAR AS whole,
+(value > 50)::INTEGER::DOUBLE AS flag, CASE WHEN value > 50 THEN 'true' ELSE 'false' END AS flag_text FROM e""")
 def coercions(spark, sf_dir):
     e = collection_rows(spark, sf_dir, "events")[0]
-    whole = F.when(F.col("value") == F.floor("value"), string(e, "value"))
-    return e.select("id", whole.alias("whole"), F.round(number(e, "value"), 6).alias("num"), number(e, "event_type").alias("none"))
+    at = F.col("event_id") % len(LOOSE) + 1
+    e = e.withColumns({
+        "s": F.element_at(F.array(*map(F.lit, LOOSE)), at.cast("int")), "small": (F.col("event_id") % 9 + 1) / F.lit(100000.0), "large": F.col("event_id") + F.lit(12345678.5),
+        "whole": (F.col("event_id") * 1000000007).cast("double"), "flag": F.col("value") > 50,
+    })
+    text = F.when((F.col("value") == F.floor("value")) | (F.abs("value") >= 0.001), string(e, "value"))
+    return e.select(
+        "id", text.alias("text"), F.round(number(e, "value"), 6).alias("num"), number(e, "s").alias("of_text"), string(e, "small").alias("small"),
+        string(e, "large").alias("large"), string(e, "whole").alias("whole"), number(e, "flag").alias("flag"), string(e, "flag").alias("flag_text"),
+    )
+
+
+def affinity_of(types: list[str], brands: list[str], terms: list[str]):
+    """How well a part suits a profile."""
+    text = F.lower(F.concat_ws(" ", "p_name", "p_type"))
+    past = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+    return F.when(F.col("p_type").isin(types), 3).otherwise(0) + F.when(F.col("p_brand").isin(brands), 2).otherwise(0) + F.when(past, 2).otherwise(0)
 
 
-@query("""SELECT p_partkey::VARCHAR AS id, (CASE WHEN p_type IN ('STEEL', 'BRASS') THEN 3 ELSE 0 END + CASE WHEN p_brand IN ('Brand#12') THEN 2 ELSE 0 END
- + CASE WHEN contains(lower(p_name || ' ' || p_type), 'widget') OR contains(lower(p_name || ' ' || p_type), 'blue') THEN 2 ELSE 0 END)::INTEGER AS affinity FROM part""")
+def affinity_sql(types: list[str], brands: list[str], terms: list[str]) -> str:
+    past = " OR ".join(f"contains(lower(p_name || ' ' || p_type), '{t}')" for t in terms)
+    return f"(CASE WHEN list_contains({types}, p_type) THEN 3 ELSE 0 END + CASE WHEN list_contains({brands}, p_brand) THEN 2 ELSE 0 END + CASE WHEN {past} THEN 2 ELSE 0 END)::INTEGER"
+
+
+_LIKES, _EDITED = (["STEEL", "BRASS"], ["Brand#12"], ["widget", "blue"]), (["STEEL"], ["Brand#12", "Brand#34"], ["widget"])
+
+
+@query(f"SELECT p_partkey::VARCHAR AS id, {affinity_sql(*_LIKES)} AS affinity FROM part")
 def affinity(spark, sf_dir):
+    return collection_rows(spark, sf_dir, "parts")[0].select("id", affinity_of(*_LIKES).alias("affinity"))
+
+
+@query(f"SELECT p_partkey::VARCHAR AS id, {affinity_sql(*_EDITED)} AS affinity FROM part")
+def affinity_replay(spark, sf_dir):
+    """A profile is edited: affinities are computed anew and those that changed written again."""
     docs = collection_rows(spark, sf_dir, "parts")[0]
-    text = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    past = F.contains(text, F.lit("widget")) | F.contains(text, F.lit("blue"))
-    score = F.when(F.col("p_type").isin("STEEL", "BRASS"), 3).otherwise(0) + F.when(F.col("p_brand").isin("Brand#12"), 2).otherwise(0) + F.when(past, 2).otherwise(0)
-    return docs.select("id", score.alias("affinity"))
+    before = docs.withColumn("affinity", affinity_of(*_LIKES))
+    after = before.withColumn("new", affinity_of(*_EDITED)).where("new != affinity").withColumn("affinity", F.col("new")).drop("new")
+    return replace_by_id(before, after).select("id", "affinity")
 
 
 @query(f"SELECT p_partkey::VARCHAR AS id, {NOW} - p_size::BIGINT * 86400000 AS released_at, (p_type = 'STEEL')::INTEGER AS cat_steel FROM part")

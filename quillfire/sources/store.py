@@ -77,6 +77,9 @@ class Store:
     def _list(self, path: str) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._path(path))] if self._exists(path) else []
 
+    def _made(self, path: str) -> int:
+        return self._fs.getFileStatus(self._path(path)).getModificationTime()
+
     def _delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
@@ -152,7 +155,8 @@ class Store:
         self._frames.clear()
 
     def vacuum(self, name: str, keep: int = 2) -> int:
-        """Delete buckets that only states older than the last ``keep`` name; how many."""
+        """Delete buckets that only states older than the last ``keep`` name; how many.
+        Folders made since the last state are a write under way and stay."""
         numbers = self._numbers(name)
         entries = [self._read(f"{self._catalog(name)}/{n:012d}.json") for n in numbers[-max(1, keep) :]]
         used: dict[str, set] = {}
@@ -161,8 +165,10 @@ class Store:
                 used.setdefault(p["folder"], set()).add(f"_b={b}")
         for n in numbers[: -max(1, keep)]:
             self._delete(f"{self._catalog(name)}/{n:012d}.json")
-        gone = 0
+        gone, since = 0, self._made(f"{self._catalog(name)}/{numbers[-1]:012d}.json")
         for folder in self._list(f"{self.root}/{name}"):
+            if folder not in used and self._made(f"{self.root}/{name}/{folder}") > since:
+                continue
             base = f"{self.root}/{name}/{folder}"
             old = [f for f in self._list(f"{base}/rows") if f.startswith("_b=") and f not in used.get(folder, ())]
             gone += len(old)

@@ -40,7 +40,7 @@ def test_typo_budget():
 
 def test_highlight(spark):
     df = column(spark, "string", ["Red <b>Running</b> & running Shoe", "none here", "", None])
-    got = values(df, highlight(F.col("x"), ["running"]))
+    got = values(df, highlight("x", ["running"]))
     assert got[0].snippet == "Red &lt;b&gt;<mark>Running</mark>&lt;/b&gt; &amp; <mark>running</mark> Shoe"
     assert got[0].matched_tokens == ["Running", "running"]
     assert got[1:] == [None, None, None]
