@@ -1,5 +1,7 @@
 import math
+import random
 import re
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -63,6 +65,27 @@ def test_string(spark):
     assert values(df, string(df, "x")) == ["true", None]
 
 
+AS_A_BROWSER = {
+    1e15: "1000000000000000", -1000001007000007.0: "-1000001007000007", 1000000000000000.5: "1000000000000000.5", 2.0**53: "9007199254740992",
+    2.0**60: "1152921504606847000", 1586536187155797248.0: "1586536187155797200", -(2.0**63): "-9223372036854776000", 123456789012345680000.0: "123456789012345680000",
+    1e21: "1e+21", 2e23: "2e+23", -1.5e300: "-1.5e+300", math.inf: "Infinity", -math.inf: "-Infinity",
+    9.662563073717538e-05: "0.00009662563073717538", 1e-6: "0.000001", 1e-7: "1e-7", -1.25e-10: "-1.25e-10", -0.0: "0", 12.5: "12.5",
+}
+
+
+def test_string_of_any_size(spark):
+    df = column(spark, "double", list(AS_A_BROWSER))
+    assert values(df, string(df, "x")) == list(AS_A_BROWSER.values())
+
+
+def test_string_of_large_doubles(spark):
+    """As many digits as Python finds needed, noughts for the rest."""
+    r = random.Random(7)
+    xs = [10 ** r.uniform(15.96, 20.99) for _ in range(3000)]
+    df = column(spark, "double", xs)
+    assert values(df, string(df, "x")) == [f"{Decimal(repr(x)):.0f}" for x in xs]
+
+
 @pytest.mark.parametrize("text,value", [("", 0), (" 7 ", 7), ("0x10", 16), ("0b11", 3), ("1e3", 1000), ("-.5", -0.5)])
 def test_literals(text, value):
     assert to_number(text) == value

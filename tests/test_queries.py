@@ -38,6 +38,18 @@ def test_against_sql(spark, db, name):
     assert sorted((tuple(plain(x[c]) for c in cols) for x in df.collect()), key=repr) == want
 
 
+@pytest.mark.parametrize("times", [1, 1_000_003, 9_007_200])
+def test_coercions_of_large_ids(spark, tmp_path, times):
+    """Whole numbers of 1e15 and more, and of more than a double holds."""
+    c = duckdb.connect()
+    c.execute(f"copy (select * replace (event_id * {times} + 999900 as event_id) from '{DATA}/events.parquet') to '{tmp_path}/events.parquet' (format parquet)")
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    df = queries.coercions(spark, str(tmp_path))
+    names = [x[0] for x in c.execute(f"describe {queries.SQL['coercions']}").fetchall()]
+    want = c.execute(queries.SQL["coercions"]).fetchall()
+    assert sorted((tuple(plain(x[n]) for n in names) for x in df.collect()), key=repr) == sorted((tuple(map(plain, x)) for x in want), key=repr)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
